@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from .op05_packing import op5_packing
 from .op06_bpe import op6_bpe
+from .op08_sharding import op8_sharding
+from .op10_simhash import op10_simhash
 
 QUERIES = {
+    "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
+    "op8_sharding": op8_sharding,
+    "op10_simhash": op10_simhash,
 }
 ORACLE: dict[str, str] = {}
