@@ -5,6 +5,7 @@ from __future__ import annotations
 from .op01_scoring import op1_scoring
 from .op05_packing import op5_packing
 from .op06_bpe import op6_bpe
+from .op07_suffix import op7_suffix
 from .op08_sharding import op8_sharding
 from .op10_simhash import op10_simhash
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_scoring": op1_scoring,
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
+    "op7_suffix": op7_suffix,
     "op8_sharding": op8_sharding,
     "op10_simhash": op10_simhash,
 }
