@@ -1,4 +1,4 @@
-"""A tokenizer file applied to whole words, with bounded caches.
+"""A tokenizer file applied piece by piece, with a bounded cache.
 
 For tokenizers of the shape "NFC, collapse white space, lower case; split by a pattern that never
 holds white space; byte-level BPE" the ids of a text are those of its words, one after the other.
@@ -13,11 +13,16 @@ import os
 import re
 
 import numpy as np
-import regex
 
-#: words of printable Latin-1 need neither normalisation nor Unicode tables
-_ODD = re.compile("[^!-~¡-¬®-ÿ]")
-_WORDS, _PIECES = 200_000, 200_000
+#: printable Latin-1 and ASCII white space need neither normalisation nor Unicode tables
+_ODD = "[^\x09-\x0d -~¡-¬®-ÿ]"
+_SPACE = "\x09-\x0d "
+_LETTERS = "a-zªµºß-öø-ÿ"
+_DIGITS = "0-9²³¹¼-¾"
+#: entries of a cache's young half; what is used again while old becomes young
+_PIECES = 400_000
+#: between texts, and in place of ids between their ids
+_NUL, _MARK = "\x00", b"\xff\xff\xff\xff"
 
 
 def default_path() -> str:
@@ -50,47 +55,23 @@ class WordEncoder:
             and spec.get("post_processor") is None
             and not any(a["lstrip"] or a["rstrip"] or a["normalized"] or re.search(r"\s", a["content"]) for a in spec["added_tokens"])
         )
-        self.added = [a["content"] for a in spec["added_tokens"]]
-        self.pattern = regex.compile(split) if self.by_word else None
+        odd = "|".join([_ODD, *(re.escape(a["content"]) for a in spec["added_tokens"])])
+        self.odd = re.compile(odd)
+        self.odd_between = re.compile(odd.replace("[^", "[^\x00", 1))
+        self.odd_word = re.compile(f"([^{_SPACE}]*(?:{odd})[^{_SPACE}]*)")
+        # the same pattern over lower-case printable Latin-1, and the marks between texts
+        last = split.rfind("|[\\p{L}]+|[\\p{N}]|")
+        self.by_word = self.by_word and last >= 0
+        self.easy = re.compile(f"\x00|{split[: max(last, 0)]}|[{_LETTERS}]+|[{_DIGITS}]|[^\x00{_SPACE}{_LETTERS}{_DIGITS}]+") if self.by_word else None
         self.plain_decode = spec.get("decoder") is None
         self.names = [self.tok.id_to_token(i) or "" for i in range(max(self.tok.get_vocab().values()) + 1)] if self.plain_decode else []
-        self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.said: dict[bytes, str] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         many = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in many]
 
-    def learn(self, new: set[bytes]) -> None:
-        """Puts words (UTF-8, without ASCII white space) into the cache."""
-        if len(self.words) + len(new) > _WORDS:
-            self.words.clear()
-        if len(self.pieces) > _PIECES:
-            self.pieces.clear()
-        easy, hard = [], []
-        for w in new:
-            s = w.decode("utf-8")
-            (hard if _ODD.search(s) or any(a in s for a in self.added) else easy).append((w, s))
-        split = [(w, self.pattern.findall(s.lower())) for w, s in easy]
-        missing = list({p for _, ps in split for p in ps}.difference(self.pieces))
-        self.pieces.update(zip(missing, self._library(missing), strict=True))
-        of = self.pieces.__getitem__
-        for w, ps in split:
-            self.words[w] = of(ps[0]) if len(ps) == 1 else b"".join(map(of, ps))
-        self.words.update(zip((w for w, _ in hard), self._library([s for _, s in hard]), strict=True))
-
-    def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word."""
-        new = set(words).difference(self.words)
-        if new:
-            if len(new) > _WORDS // 2:
-                half = len(words) // 2
-                return self.encode_words(words[:half]) + self.encode_words(words[half:])
-            cleared = len(self.words) + len(new) > _WORDS
-            self.learn(set(words) if cleared else new)
-        return list(map(self.words.__getitem__, words))
-
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text."""
         if not self.by_word:
@@ -102,16 +83,35 @@ class WordEncoder:
             if size > 1_500_000:
                 out += self._some(todo)
                 todo, size = [], 0
-        return out + self._some(todo)
+        return out + self._some(todo) if todo else out
 
     def _some(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        flat = [w for ws in split for w in ws]
-        ids, out, at = self.encode_words(flat), [], 0
-        for ws in split:
-            out.append(b"".join(ids[at : at + len(ws)]))
-            at += len(ws)
-        return out
+        joined = b"\x00".join(texts).decode("utf-8")
+        if joined.count(_NUL) == len(texts) - 1 and not self.odd_between.search(joined):
+            return self._easy(joined)
+        # words with other characters go to the library, each on its own
+        easy, hard, shape = [], [], []
+        for t in texts:
+            parts = self.odd_word.split(t.decode("utf-8"))
+            easy += parts[::2]
+            hard += parts[1::2]
+            shape.append(len(parts))
+        easy, hard = iter(self._easy(_NUL.join(easy))), iter(self._library(hard))
+        return [b"".join(next(hard) if i % 2 else next(easy) for i in range(n)) for n in shape]
+
+    def _easy(self, joined: str) -> list[bytes]:
+        found = self.easy.findall(joined.lower())
+        if len(self.pieces) > _PIECES:
+            self.old_pieces, self.pieces = self.pieces, {}
+        of = self.pieces
+        of[_NUL] = _MARK
+        missing = set(found).difference(of)
+        again = missing.intersection(self.old_pieces)
+        of.update(zip(again, map(self.old_pieces.__getitem__, again), strict=True))
+        missing = list(missing.difference(again))
+        if missing:
+            of.update(zip(missing, self._library(missing), strict=True))
+        return b"".join(map(of.__getitem__, found)).split(_MARK)
 
     def decode(self, ids: bytes) -> str:
         """The library's decode(ids, skip_special_tokens=False)."""
@@ -120,17 +120,6 @@ class WordEncoder:
             return " ".join(map(self.names.__getitem__, nums))
         return self.tok.decode(nums, skip_special_tokens=False)
 
-    def decode_words(self, parts: list[bytes]) -> str:
-        """``decode`` of joined parts, each decoded once while it is remembered."""
-        if not self.plain_decode:
-            return self.decode(b"".join(parts))
-        if len(self.said) > _WORDS:
-            self.said.clear()
-        said = self.said
-        for p in set(parts).difference(said):
-            said[p] = self.decode(p)
-        return " ".join(filter(None, map(said.__getitem__, parts)))
-
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:

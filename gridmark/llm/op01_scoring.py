@@ -83,7 +83,7 @@ def _count(path: str):
                 words.update(flat)
                 ends += len(split)
                 # subword pairs: an id and the one before it; texts begin after the end id
-                ids = enc.encode_words(flat)
+                ids = enc.encode(flat)
                 seq, i = [], 0
                 for ws in split:
                     seq.append(end.tobytes())
@@ -126,7 +126,7 @@ def _train(shared: Broadcast, path: str, part: int):
                 words = text.lower().split()
                 first = zlib.crc32(str(doc).encode()) + part * (EVERY // ROUNDS)
                 for a in range(first % EVERY * SPAN, max(1, len(words)), EVERY * SPAN):
-                    ids = b"".join(enc.encode_words(words[a : a + SPAN]))
+                    ids = b"".join(enc.encode(words[a : a + SPAN]))
                     waiting.append(ids)
                     size += len(ids) // 4 + 1
                 if size >= 4096:
@@ -220,7 +220,7 @@ def _score(shared: Broadcast, path: str, names: list[str]):
                 if new:
                     known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
                     keys = np.fromiter(map(word_key, new), np.int64, len(new))
-                    ids += enc.encode_words(new)
+                    ids += enc.encode(new)
                     key, value = np.concatenate([key, keys]), np.concatenate([value, look(keys)])
                     size = np.concatenate([size, np.fromiter(map(len, ids[-len(new) :]), np.int64, len(new)) // 4])
                 code = list(map(known.__getitem__, words))

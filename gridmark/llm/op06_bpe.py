@@ -44,84 +44,112 @@ def cuts(data: np.ndarray, bits: int = 10) -> np.ndarray:
 
 
 class Chunk:
-    """Ids of a chunk by words; ``open``: it has no white space, so it is part of one word."""
+    """A chunk and the ids of its whole words; ``open``: no white space, so it is part of one word.
 
-    __slots__ = ("open", "head", "tail", "words", "parts")
+    ``head`` and ``tail`` are what stands before the first and after the last white space: words
+    that may go on in the neighbouring chunks. ``first`` and ``last`` are the outermost whole words,
+    the witnesses of a repair.
+    """
 
-    def __init__(self, text: bytes, enc: WordEncoder):
-        spaces = [m.start() for m in (_SPACE.search(text),) if m]
-        self.open = not spaces
-        self.head = text if self.open else text[: spaces[0]]
-        body = text if self.open else text[spaces[0] :]
-        self.tail = b"" if text[-1:].isspace() and text[-1:] in b" \t\n\x0b\x0c\r" else body.split()[-1]
-        words = [] if self.open else body.split()
-        if self.tail and words:
-            words.pop()
-        self.parts = enc.encode_words(words)
-        # the words next to the ends are the witnesses of a repair
-        self.words = (words[0], words[-1]) if words else ()
+    __slots__ = ("open", "head", "tail", "first", "last", "middle", "ids")
+
+    def __init__(self, text: bytes):
+        space = _SPACE.search(text)
+        self.open = space is None
+        self.head = text if self.open else text[: space.start()]
+        self.first = self.middle = self.last = self.tail = b""
+        self.ids = (b"", b"", b"")
+        if self.open:
+            return
+        body = text[space.start() :]
+        if body[-1] not in b" \t\n\x0b\x0c\r":
+            body, self.tail = _last(body)
+        body = body.strip()
+        if body:
+            self.first, *rest = body.split(None, 1)
+            if rest:
+                self.middle, self.last = _last(rest[0])
+
+
+def _last(body: bytes) -> tuple[bytes, bytes]:
+    parts = body.rsplit(None, 1)
+    if len(parts) == 2:
+        return parts[0], parts[1]
+    return b"", parts[0] if parts else b""
 
 
 class ChunkEncoder:
-    """Encodes texts chunk by chunk; ``parts`` of a text are the ids of its words in order."""
+    """Encodes texts, given as their pieces, chunk by chunk."""
 
     def __init__(self, enc: WordEncoder, bits: int = 10):
         self.enc, self.bits, self.known, self.size = enc, bits, {}, 0
         self.reused = self.made = self.widened = 0
 
-    def chunk(self, text: bytes) -> Chunk:
-        got = self.known.get(text)
-        if got is None:
-            if self.size > CACHE_BYTES:
-                self.known.clear()
-                self.size = 0
-            got = self.known[text] = Chunk(text, self.enc)
-            self.size += 8 * len(text)
-            self.made += 1
-        else:
-            self.reused += 1
-        return got
-
-    def repair(self, before: Chunk | None, seam: bytes, after: Chunk | None) -> list[bytes] | None:
-        """Ids of the words of ``seam``; None where the witnesses disagree."""
-        left = [before.words[1]] if before is not None and before.words else []
-        right = [after.words[0]] if after is not None and after.words else []
-        if not seam:
-            return []
-        got = self.enc.encode_words([*left, *seam.split(), *right])
-        if left and got[0] != before.parts[-1] or right and got[-1] != after.parts[0]:
-            self.widened += 1
-            return None
-        return got[len(left) : len(got) - len(right)]
-
-    def parts(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of the words of the text that is cut into ``pieces``."""
-        out: list[bytes] = []
-        before, seam = None, b""
-        for piece in pieces:
-            c = self.chunk(piece)
-            if c.open:
+    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
+        """The ids of each text."""
+        if self.size > CACHE_BYTES:
+            self.known.clear()
+            self.size = 0
+        new, todo, plans = [], [], []
+        for pieces in texts:
+            # a plan: chunks, and between them the seam with its witnesses
+            plan, seam, before = [], b"", None
+            for piece in pieces:
+                c = self.known.get(piece)
+                if c is None:
+                    c = self.known[piece] = Chunk(piece)
+                    self.size += 8 * len(piece)
+                    new.append(c)
+                else:
+                    self.reused += 1
                 seam += c.head
-                continue
-            mended = self.repair(before, seam + c.head, c)
-            if mended is None:
-                return self.enc.encode_words(b"".join(pieces).split())
-            out += mended
-            out += c.parts
-            before, seam = c, c.tail
-        mended = self.repair(before, seam, None)
-        return self.enc.encode_words(b"".join(pieces).split()) if mended is None else out + mended
-
-    def texts(self, column: pa.Array) -> Iterator[tuple[bytes, list[bytes]]]:
-        """Each text of a string column with the ids of its words (or, whole, from the library)."""
-        column = column.cast(pa.binary())
-        for text in column.to_pylist():
+                if not c.open:
+                    plan += [(before, seam, c), c]
+                    before, seam = c, c.tail
+            plan.append((before, seam, None))
+            todo += [b" ".join([x[0].last or x[0].first if x[0] else b"", x[1], x[2].first if x[2] else b""]) for x in plan if isinstance(x, tuple) and x[1]]
+            plans.append(plan)
+        self.made += len(new)
+        ids = self.enc.encode([*todo, *(x for c in new for x in (c.first, c.middle, c.last))])
+        at = len(todo)
+        for c in new:
+            c.ids = (ids[at], ids[at + 1], ids[at + 2])
+            at += 3
+        seams = iter(ids)
+        return [self._joined(plan, pieces, seams) for plan, pieces in zip(plans, texts, strict=True)]
+
+    def _joined(self, plan: list, pieces: list[bytes], seams: Iterator[bytes]) -> bytes:
+        out, agree = [], True
+        for x in plan:
+            if isinstance(x, Chunk):
+                out += x.ids
+            elif x[1]:
+                got = next(seams)
+                left = (x[0].ids[2] or x[0].ids[0]) if x[0] else b""
+                right = x[2].ids[0] if x[2] else b""
+                # the witnesses must have the ids that they have in their chunks
+                agree &= got.startswith(left) and got.endswith(right) and len(got) >= len(left) + len(right)
+                out.append(got[len(left) : len(got) - len(right)])
+        if agree:
+            return b"".join(out)
+        self.widened += 1
+        return self.enc.encode([b"".join(pieces)])[0]
+
+    def texts(self, column: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of a string column."""
+        todo, size = [], 0
+        for text in column.cast(pa.binary()).to_pylist():
             text = text or b""
             if not self.enc.by_word:
-                yield text, self.enc.encode([text])
+                yield self.enc.encode([text])[0]
                 continue
             at = cuts(np.frombuffer(text, dtype=np.uint8), self.bits).tolist() if len(text) > 256 else []
-            yield text, self.parts([text[a:b] for a, b in zip([0, *at], [*at, len(text)], strict=True)] if text else [])
+            todo.append([text[a:b] for a, b in zip([0, *at], [*at, len(text)], strict=True)] if text else [])
+            size += len(text)
+            if size > 1_500_000:
+                yield from self.encode(todo)
+                todo, size = [], 0
+        yield from self.encode(todo)
 
 
 def bpe_roundtrip(df: DataFrame, text: str = "text", path: str | None = None, bits: int = 10, digest: bool = False) -> DataFrame:
@@ -144,17 +172,16 @@ def bpe_roundtrip(df: DataFrame, text: str = "text", path: str | None = None, bi
             own = [b.column(b.schema.get_field_index(c)) for c in kept]
             if digest:
                 n, ids_hex, text_hex = [], [], []
-                for _, parts in chunks.texts(b.column(b.schema.get_field_index(text))):
-                    ids = b"".join(parts)
+                for ids in chunks.texts(b.column(b.schema.get_field_index(text))):
                     n.append(len(ids) // 4)
                     ids_hex.append(hashlib.sha256(ids).hexdigest())
-                    text_hex.append(hashlib.sha256(enc.decode_words(parts).encode()).hexdigest())
+                    text_hex.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())
                 new = [pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())]
             else:
                 got = list(chunks.texts(b.column(b.schema.get_field_index(text))))
                 new = [
-                    pa.array([np.frombuffer(b"".join(p), dtype="<u4").astype(np.int32) for _, p in got], pa.list_(pa.int32())),
-                    pa.array([enc.decode_words(p) for _, p in got], pa.string()),
+                    pa.array([np.frombuffer(p, dtype="<u4").astype(np.int32) for p in got], pa.list_(pa.int32())),
+                    pa.array([enc.decode(p) for p in got], pa.string()),
                 ]
             yield pa.RecordBatch.from_arrays([*own, *new], names=[*kept, *names.values()])
 

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -40,7 +41,7 @@ def test_chunks_equal_library_at_any_cut():
         at = sorted({int(x) for x in rng.integers(0, len(data) + 1, 7)} - {0, len(data)})
         at = [a for a in at if data[a] & 0xC0 != 0x80]
         pieces = [data[a:b] for a, b in zip([0, *at], [*at, len(data)], strict=True)]
-        assert np.frombuffer(b"".join(chunks.parts(pieces)), "<u4").tolist() == ids, text[:40]
+        assert np.frombuffer(chunks.encode([pieces])[0], "<u4").tolist() == ids, text[:40]
     assert chunks.reused
 
 
@@ -61,3 +62,25 @@ def test_frame(spark):
     assert [r.ids_sha256 for r in got] == [hashlib.sha256(np.array(i, "<u4").tobytes()).hexdigest() for i in ids]
     assert [r.decoded_sha256 for r in got] == [hashlib.sha256(s.encode()).hexdigest() for s in said]
     assert bpe_roundtrip(df.limit(0)).count() == 0
+
+
+def test_latin_letters_and_digits_are_those_of_unicode():
+    import unicodedata
+
+    from gridmark.llm import bpe
+
+    enc = WordEncoder(default_path())
+    low = [chr(i) for i in range(33, 256) if not enc.odd.search(chr(i)) and chr(i).lower() == chr(i)]
+    letters, digits = re.compile(f"[{bpe._LETTERS}]"), re.compile(f"[{bpe._DIGITS}]")
+    for c in low:
+        kind = unicodedata.category(c)[0]
+        assert bool(letters.match(c)) == (kind == "L") and bool(digits.match(c)) == (kind == "N"), c
+
+
+def test_many_words_equal_library():
+    rng = np.random.default_rng(3)
+    chars = [chr(i) for i in range(33, 600)] + list("'stremvld'''***  ..") * 15
+    words = ["".join(rng.choice(chars, int(rng.integers(1, 12)))) for _ in range(20_000)]
+    enc = WordEncoder(default_path())
+    text = " ".join(words)
+    assert np.frombuffer(enc.encode([text.encode()])[0], "<u4").tolist() == library([text])[0][0]
