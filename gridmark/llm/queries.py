@@ -8,6 +8,7 @@ from .op05_packing import op5_packing
 from .op06_bpe import op6_bpe
 from .op07_suffix import op7_suffix
 from .op08_sharding import op8_sharding
+from .op09_ann import op9_ann
 from .op10_simhash import op10_simhash
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_suffix": op7_suffix,
     "op8_sharding": op8_sharding,
+    "op9_ann": op9_ann,
     "op10_simhash": op10_simhash,
 }
 ORACLE: dict[str, str] = {}
