@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .op01_scoring import op1_scoring
 from .op02_embedding_dedup import op2_embedding_dedup
+from .op04_quality import op4_quality
 from .op05_packing import op5_packing
 from .op06_bpe import op6_bpe
 from .op07_suffix import op7_suffix
@@ -14,6 +15,7 @@ from .op10_simhash import op10_simhash
 QUERIES = {
     "op1_scoring": op1_scoring,
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op4_quality": op4_quality,
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
     "op7_suffix": op7_suffix,
