@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .op01_scoring import op1_scoring
 from .op02_embedding_dedup import op2_embedding_dedup
+from .op03_chat import OP3_SQL, op3_chat
 from .op04_quality import op4_quality
 from .op05_packing import op5_packing
 from .op06_bpe import op6_bpe
@@ -15,6 +16,7 @@ from .op10_simhash import op10_simhash
 QUERIES = {
     "op1_scoring": op1_scoring,
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_chat": op3_chat,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
@@ -23,4 +25,6 @@ QUERIES = {
     "op9_ann": op9_ann,
     "op10_simhash": op10_simhash,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_chat": OP3_SQL,
+}
