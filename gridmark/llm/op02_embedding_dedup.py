@@ -69,32 +69,47 @@ def bucket_keys(x: np.ndarray, hashes: int, tables: int) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def _pairs(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, own: np.ndarray, a: int, b: int, least: float):
-    """Pairs of rows of each group (between its two blocks where they differ) of cosine >= least; x has unit rows."""
-    small = ends - starts <= 48
-    for s, e in zip(starts[~small].tolist(), ends[~small].tolist(), strict=True):
+def _pairs_of_runs(starts: np.ndarray, ends: np.ndarray, own: np.ndarray, a: np.ndarray, b: np.ndarray, most: int = 400_000):
+    """All pairs of rows of each group, between its two blocks where they differ, in bounded parts."""
+    n = ends - starts
+    for g in np.flatnonzero(n * n > most).tolist():
+        s, e = int(starts[g]), int(ends[g])
         cross = a[s] != b[s]
         left = np.arange(s, e)[own[s:e] == a[s]] if cross else np.arange(s, e)
         right = np.arange(s, e)[own[s:e] == b[s]] if cross else left
-        for at in range(0, len(left), 512):
-            rows = left[at : at + 512]
-            i, j = np.nonzero(x[rows] @ x[right].T >= least)
-            i, j = rows[i], right[j]
+        step = max(1, most // max(len(right), 1))
+        for at in range(0, len(left), step):
+            i, j = (x.ravel() for x in np.meshgrid(left[at : at + step], right, indexing="ij"))
             keep = slice(None) if cross else i < j
             yield i[keep], j[keep]
-    s, n = starts[small], (ends - starts)[small]
+    s, n = starts[n * n <= most], n[n * n <= most]
     at = 0
     while at < len(s):
-        m = max(1, int(np.searchsorted(np.cumsum(n[at:] ** 2), 200_000, side="right")))
+        m = max(1, int(np.searchsorted(np.cumsum(n[at:] ** 2), most, side="right")))
         gs, gn = s[at : at + m], n[at : at + m]
         at += m
         first = np.repeat(gs, gn) + _ranges(gn)
         times = np.repeat(gn, gn)
         i = np.repeat(first, times)
         j = np.repeat(np.repeat(gs, gn), times) + _ranges(times)
-        keep = i < j
-        keep &= (a[i] == b[i]) | (own[i] != own[j])
-        i, j = i[keep], j[keep]
+        keep = (i < j) & ((a[i] == b[i]) | (own[i] != own[j]))
+        yield i[keep], j[keep]
+
+
+def _pairs(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, own: np.ndarray, a: np.ndarray, b: np.ndarray, least: float):
+    """Pairs of rows of each group of cosine >= least; x has unit rows."""
+    small = ends - starts <= 48
+    for s, e in zip(starts[~small].tolist(), ends[~small].tolist(), strict=True):
+        cross = a[s] != b[s]
+        left = np.arange(s, e)[own[s:e] == a[s]] if cross else np.arange(s, e)
+        right = np.arange(s, e)[own[s:e] == b[s]] if cross else left
+        for at in range(0, len(left), 512):
+            rows = left[at : at + 512]
+            i, j = np.nonzero(x[rows] @ x[right].T >= least)
+            i, j = rows[i], right[j]
+            keep = slice(None) if cross else i < j
+            yield i[keep], j[keep]
+    for i, j in _pairs_of_runs(starts[small], ends[small], own, a, b):
         ok = np.einsum("ij,ij->i", x[i], x[j]) >= least
         yield i[ok], j[ok]
 
