@@ -125,13 +125,13 @@ def refile(shops: DataFrame, plans: DataFrame, storeys: DataFrame) -> DataFrame:
     storey is a small fold of its own. Returns ord, feuillet, element, moved.
     """
     of = storeys.select(F.col("sheet").alias("feuillet"), "storey").distinct()
-    shop = shops.select("ord", "feuillet", "element").join(of, "feuillet", "left")
-    plan = plans.select("feuillet", "element").distinct().join(of, "feuillet").select(F.lit(-1).cast("long").alias("ord"), "feuillet", "element", "storey")
+    shop = shops.select("ord", "feuillet", "element", F.lit(False).alias("plan")).join(of, "feuillet", "left")
+    plan = plans.select("feuillet", "element").distinct().join(of, "feuillet").select(F.lit(0).cast("long").alias("ord"), "feuillet", "element", F.lit(True).alias("plan"), "storey")
     known = shop.filter("storey is not null").unionByName(plan)
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
-        plan_sheets = set(g[g.ord < 0].feuillet)
-        mine = g[g.ord >= 0].sort_values("ord")
+        plan_sheets = set(g[g["plan"]].feuillet)
+        mine = g[~g["plan"]].sort_values("ord")
         taken, rows = set(mine.feuillet), []
         for r in mine.itertuples():
             homes = plan_sheets - taken - {r.feuillet} if r.feuillet not in plan_sheets else set()
