@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,31 +129,43 @@ def label_piles(labels: DataFrame, bands: DataFrame, keys: list[str]) -> DataFra
 def follow_leaders(columns: DataFrame, tags: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
     """Columns with the tag their leader reaches: (keys, column_id, tag_id).
 
-    From segment ends in a column, up to four hops along segments whose ends meet (in cells of
-    1.5 points, neighbouring cells included); each hop is a join on cells, and a cell is entered once.
-    ``segments(seg_id, ax, ay, bx, by)``.
+    From segment ends in a column, up to four hops along segments whose ends meet (in cells of 1.5
+    points, neighbouring cells included); a cell is entered once. ``segments(seg_id, ax, ay, bx, by)``.
+    All columns of a page walk over the same index of segment ends, so a page is one fold.
     """
-    cell = lambda v: F.bround(F.col(v) / K.SNAP, 0).cast("long")
-    inside = lambda x, y: (F.col(x) >= F.col("x0") - 2) & (F.col(x) < F.col("x1") + 2) & (F.col(y) >= F.col("y0") - 2) & (F.col(y) < F.col("y1") + 2)
-    near = segments.join(columns.select(*keys, "column_id", "x0", "y0", "x1", "y1"), keys)
-    a_in, b_in = inside("ax", "ay"), inside("bx", "by")
-    tip = near.filter(a_in != b_in).select(*keys, "column_id", F.when(b_in, F.col("ax")).otherwise(F.col("bx")).alias("px"), F.when(b_in, F.col("ay")).otherwise(F.col("by")).alias("py"))
-    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    short = segments.filter(F.sqrt(dx * dx + dy * dy) < K.LEADER_LENGTH)
-    ends = short.select(*keys, cell("ax").alias("kx"), cell("ay").alias("ky"), F.col("bx").alias("nx"), F.col("by").alias("ny")).unionByName(short.select(*keys, cell("bx").alias("kx"), cell("by").alias("ky"), F.col("ax").alias("nx"), F.col("ay").alias("ny")))
-    t = tags.select(*keys, "tag_id", F.col("x0").alias("tx0"), F.col("y0").alias("ty0"), F.col("x1").alias("tx1"), F.col("y1").alias("ty1"))
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    seen, reached = None, None
-    for hop in range(K.LEADER_HOPS):
-        points = tip.join(t, keys).withColumn("far", box_gap(F.col("px"), F.col("py"), F.col("px"), F.col("py"), F.col("tx0"), F.col("ty0"), F.col("tx1"), F.col("ty1"))).select(*keys, "column_id", "far", "tag_id")
-        reached = points if reached is None else reached.unionByName(points)
-        if hop + 1 == K.LEADER_HOPS:
-            break
-        cells = tip.select(*keys, "column_id", cell("px").alias("cx"), cell("py").alias("cy"), around.alias("d"))
-        cells = cells.select(*keys, "column_id", (F.col("cx") + F.col("d.i")).alias("kx"), (F.col("cy") + F.col("d.j")).alias("ky")).distinct()
-        if seen is not None:
-            cells = cells.join(seen, [*keys, "column_id", "kx", "ky"], "left_anti")
-        seen = cells if seen is None else seen.unionByName(cells)
-        tip = cells.join(ends, [*keys, "kx", "ky"]).select(*keys, "column_id", F.col("nx").alias("px"), F.col("ny").alias("py")).distinct()
-    best = reached.groupBy(*keys, "column_id").agg(F.min(F.struct("far", "tag_id")).alias("m")).filter(F.col("m.far") <= K.TAG_REACH)
-    return best.select(*keys, "column_id", F.col("m.tag_id").alias("tag_id"))
+    box = ["x0", "y0", "x1", "y1"]
+    rows = columns.select(*keys, F.lit(0).alias("role"), F.col("column_id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in box])
+    rows = rows.unionByName(tags.select(*keys, F.lit(1).alias("role"), F.col("tag_id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in box]))
+    rows = rows.unionByName(segments.select(*keys, F.lit(2).alias("role"), F.col("seg_id").cast("long").alias("id"), *[F.col(c).cast("double").alias(b) for c, b in zip(("ax", "ay", "bx", "by"), box, strict=True)]))
+
+    def fold(page: pd.DataFrame) -> pd.DataFrame:
+        part = {r: page[page.role == r] for r in (0, 1, 2)}
+        tag, tag_id = part[1][box].to_numpy(), part[1].id.to_numpy()
+        seg = part[2][box].to_numpy()
+        ends = np.concatenate([seg, seg[:, [2, 3, 0, 1]]])  # here and at the other end
+        ends = ends[np.hypot(ends[:, 0] - ends[:, 2], ends[:, 1] - ends[:, 3]) < K.LEADER_LENGTH]
+        cells: dict[tuple, list] = {}
+        for (kx, ky), far in zip(np.rint(ends[:, :2] / K.SNAP).astype(int).tolist(), ends[:, 2:].tolist(), strict=True):
+            cells.setdefault((kx, ky), []).append(far)
+        out = []
+        for col in part[0].itertuples():
+            inside = [(seg[:, i] >= col.x0 - 2) & (seg[:, i] < col.x1 + 2) & (seg[:, i + 1] >= col.y0 - 2) & (seg[:, i + 1] < col.y1 + 2) for i in (0, 2)]
+            tips = np.concatenate([seg[inside[1] & ~inside[0], :2], seg[inside[0] & ~inside[1], 2:]])
+            entered, best = set(), (np.inf, -1)
+            for _ in range(K.LEADER_HOPS):
+                if not len(tips) or not len(tag):
+                    break
+                dx = np.maximum(np.maximum(tag[None, :, 0] - tips[:, None, 0], tips[:, None, 0] - tag[None, :, 2]), 0)
+                dy = np.maximum(np.maximum(tag[None, :, 1] - tips[:, None, 1], tips[:, None, 1] - tag[None, :, 3]), 0)
+                far = np.hypot(dx, dy).min(0)
+                best = min(best, min(zip(far.tolist(), tag_id.tolist(), strict=True)))
+                around = {(x + i, y + j) for x, y in np.rint(tips / K.SNAP).astype(int).tolist() for i in (-1, 0, 1) for j in (-1, 0, 1)} - entered
+                entered |= around
+                tips = np.array([p for c in around for p in cells.get(c, ())]).reshape(-1, 2)
+            if best[0] <= K.TAG_REACH:
+                out.append((*page[keys].iloc[0], col.id, best[1]))
+        return pd.DataFrame(out, columns=[*keys, "column_id", "tag_id"])
+
+    found = rows.groupBy(*keys).applyInPandas(fold, f"{_kinds(rows, keys)}, column_id long, tag_id long")
+    kinds = {"column_id": columns.schema["column_id"].dataType, "tag_id": tags.schema["tag_id"].dataType}
+    return found.withColumns({c: F.col(c).cast(k) for c, k in kinds.items()})
