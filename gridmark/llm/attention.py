@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK, DIM, HIDDEN, CLASSES, SINGLES, OWN_ROWS = 16, 16, 32, 64, 24, 4096
+BLOCK, DIM, HIDDEN, CLASSES, SINGLES, OWN_ROWS = 16, 16, 16, 48, 16, 4096
 _FAR = np.float32(-1e9)
 #: distance from query i of a block to key j of the block before and the block itself
 _DIST = BLOCK + np.arange(BLOCK)[:, None] - np.arange(2 * BLOCK)[None, :]
@@ -116,37 +116,63 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """log10 probabilities by blocks; projections are looked up by input row."""
+    """log10 probabilities by blocks; projections are looked up by input row.
+
+    Exponents are taken without their maximum where the parameters bound them, which they do unless
+    training went astray.
+    """
 
     def __init__(self, flat: np.ndarray, vocab: Vocabulary):
         p = views(flat, vocab.rows)
         self.p, self.vocab = p, vocab
-        self.q = p["emb"] @ p["wq"] * np.float32(DIM**-0.5)
-        self.k, self.v = p["emb"] @ p["wk"], p["emb"] @ p["wv"]
-        self.bias = p["rel"][_AT] + _CAUSAL
+        q, k, v = p["emb"] @ p["wq"] * np.float32(DIM**-0.5), p["emb"] @ p["wk"], p["emb"] @ p["wv"]
+        k[vocab.pad] = v[vocab.pad] = 0
+        # values have a one beside them that sums the weights; pads have neither value nor one
+        v = np.concatenate([v, np.ones((len(v), 1), np.float32)], axis=1)
+        v[vocab.pad] = 0
+        self.q, self.k, self.v, self.e = (np.ascontiguousarray(x) for x in (q, k, v, p["emb"]))
+        self.bias = (p["rel"][_AT] + _CAUSAL).astype(np.float32)
+        self.past, self.own = self.bias[:, :BLOCK], self.bias[:, BLOCK:]
+        most = np.linalg.norm(q, axis=1).max() * np.linalg.norm(k, axis=1).max() + np.abs(p["rel"]).max()
+        self.bounded = most < 40 and np.abs(p["wo"]).sum(0).max() + np.abs(p["bo"]).max() < 60
+        self.ones = np.ones(CLASSES, np.float32)
 
     def blocks(self, cur: np.ndarray, prev: np.ndarray, tgt: np.ndarray) -> np.ndarray:
         """Sum over each block of the log10 probabilities of its targets."""
         out = np.empty(len(cur))
-        for a in range(0, len(cur), 1024):
-            s = slice(a, a + 1024)
-            rows = np.concatenate([prev[s], cur[s]], axis=1)
-            att = self.q[cur[s]] @ self.k[rows].transpose(0, 2, 1)
-            att += self.bias
-            att += np.where(rows == self.vocab.pad, _FAR, np.float32(0))[:, None, :]
-            h = _softmax(att) @ self.v[rows]
-            h += self.p["emb"][cur[s]]
+        k0, v0 = np.zeros((1, BLOCK, DIM), np.float32), np.zeros((1, BLOCK, DIM + 1), np.float32)
+        for a in range(0, len(cur), 128):
+            s = slice(a, a + 128)
+            rows = cur[s]
+            q, e = self.q.take(rows, axis=0), self.e.take(rows, axis=0)
+            k, v = np.concatenate([k0, self.k.take(rows, axis=0)]), np.concatenate([v0, self.v.take(rows, axis=0)])
+            k0, v0 = k[-1:].copy(), v[-1:].copy()
+            own = q @ k[1:].transpose(0, 2, 1)
+            own += self.own
+            past = q @ k[:-1].transpose(0, 2, 1)
+            past += self.past
+            past[prev[s, 0] == self.vocab.pad] = _FAR  # a text's first block
+            if not self.bounded:
+                top = np.maximum(past.max(-1, keepdims=True), own.max(-1, keepdims=True))
+                past -= top
+                own -= top
+            np.exp(past, out=past)
+            np.exp(own, out=own)
+            h = past @ v[:-1]
+            h += own @ v[1:]
+            h = h[:, :, :DIM] / np.maximum(h[:, :, DIM:], 1e-30)
+            h += e
             z = h.reshape(-1, DIM) @ self.p["w1"]
             z += self.p["b1"]
             np.tanh(z, out=z)
             logits = z @ self.p["wo"]
             logits += self.p["bo"]
+            if not self.bounded:
+                logits -= logits.max(1, keepdims=True)
             t = tgt[s].ravel()
-            cls = self.vocab.cls[t]
-            logits -= logits.max(1, keepdims=True)
-            own = logits[np.arange(len(t)), cls]
+            chosen = logits.ravel()[np.arange(0, logits.size, CLASSES) + self.vocab.cls[t]]
             np.exp(logits, out=logits)
-            logp = (own - np.log(logits.sum(1))) * np.log10(np.e) + self.vocab.within[t]
+            logp = (chosen - np.log(logits @ self.ones)) * np.log10(np.e) + self.vocab.within[t]
             out[s] = np.where(t >= 0, logp, 0.0).reshape(-1, BLOCK).sum(1)
         return out
 
@@ -202,6 +228,9 @@ class Trainer:
         self.tokens += n
         self.m += 0.1 * (grad - self.m)
         self.s += 0.01 * (grad * grad - self.s)
+        if not self.t % 50:  # numbers on their way to nothing are slow
+            self.m[np.abs(self.m) < 1e-12] = 0
+            self.s[self.s < 1e-24] = 0
         rate = self.rate / (1 - 0.9**self.t) * np.sqrt(1 - 0.99**self.t)
         self.flat -= (rate * self.m / (np.sqrt(self.s) + 1e-7)).astype(np.float32)
         return loss

@@ -69,6 +69,7 @@ class WordEncoder:
         self.easy = re.compile(f"\x00|{split[: max(last, 0)]}|[{_LETTERS}]+|[{_DIGITS}]|[^\x00{_SPACE}{_LETTERS}{_DIGITS}]+") if self.by_word else None
         self.plain_decode = spec.get("decoder") is None
         self.names = [self.tok.id_to_token(i) or "" for i in range(max(self.tok.get_vocab().values()) + 1)] if self.plain_decode else []
+        self.most = _PIECES
         self.pieces: dict[str, bytes] = {}
         self.old_pieces: dict[str, bytes] = {}
 
@@ -108,7 +109,7 @@ class WordEncoder:
 
     def _easy(self, joined: str) -> list[bytes]:
         found = self.easy.findall(joined.lower())
-        if len(self.pieces) > _PIECES:
+        if len(self.pieces) > self.most:
             self.old_pieces, self.pieces = self.pieces, {}
         of = self.pieces
         of[_NUL] = _MARK

@@ -1,7 +1,7 @@
 """Language-model scoring: a word-count baseline and a causal self-attention model on subword ids.
 
-Fitting reads all training texts: one pass counts words and subword pairs (partial counts of every
-task meet in a shuffle), then each training round lets every task train a copy of the model on a
+Fitting reads all training texts: one pass counts words and, within them, subword pairs (partial counts
+of every task meet in a shuffle), then each training round lets every task train a copy of the model on a
 fixed fraction of its own windows and averages the copies by their tokens. What is gathered grows
 with the input; what is collected is bounded by the subword vocabulary and the model's size.
 
@@ -29,12 +29,13 @@ from .common import Scratch, by_key, groups_of, table
 #: words whose counts may be broadcast: 16 bytes each
 HOT = 1 << 19
 BUCKETS = 16
-#: of a text's runs of SPAN words, one of EVERY is trained on in each of ROUNDS rounds
-SPAN, EVERY, ROUNDS = 64, 16, 2
+#: of a text's runs of SPAN_BYTES, one of EVERY is trained on in each of ROUNDS rounds
+SPAN_BYTES, EVERY, ROUNDS = 400, 24, 2
+#: blocks of a training step; texts' runs wait until there are as many
+STEP = 64
 _SLICE = 4096
 #: the key of a text's end; words have the XXH64 of their bytes
 END_KEY = xxhash.xxh64_intdigest(b" end of text ") - (1 << 63)
-_KEPT = 400_000
 
 
 def word_key(word: bytes) -> int:
@@ -65,39 +66,38 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
 def _count(path: str):
     def run(batches):
         enc = encoder(path)
-        end = np.uint32(enc.tok.token_to_id("<|endoftext|>") or 0)
+        end = np.uint32(enc.tok.token_to_id("<|endoftext|>") or 0).tobytes()
         words: Counter = Counter()
         ends = 0
-        pairs = np.zeros(len(enc.names) * BUCKETS, np.int64)
+        pairs = np.zeros(len(enc.names) * BUCKETS)
 
         def rows():
-            keys = np.fromiter(map(word_key, words), np.int64, len(words))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int8)), pa.array(keys), pa.array(np.fromiter(words.values(), np.int64, len(keys)))], names=["kind", "key", "n"])
+            nonlocal pairs
+            own, n = list(words), np.fromiter(words.values(), np.int64, len(words))
+            keys = np.fromiter(map(word_key, own), np.int64, len(own))
             words.clear()
+            for at in range(0, len(own), 100_000):
+                # subword pairs of the words, as often as the word came: an id and the one before it
+                ids = enc.encode(own[at : at + 100_000])
+                flat = np.frombuffer(b"".join([end + x for x in ids]), "<u4").astype(np.int64)
+                times = np.repeat(n[at : at + len(ids)], [len(x) // 4 + 1 for x in ids])
+                first = flat == int.from_bytes(end, "little")
+                before = np.concatenate([flat[:1], flat[:-1]]) * 2654435761 % 4294967296 * BUCKETS // 4294967296
+                pairs += np.bincount((flat * BUCKETS + before)[~first], times[~first], minlength=len(pairs))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int8)), pa.array(keys), pa.array(n)], names=["kind", "key", "n"])
 
         for b in batches:
-            todo = _texts(b, "text")
-            for at in range(0, len(todo), 300):
-                split = [t.lower().split() for t in todo[at : at + 300]]
-                flat = [w for ws in split for w in ws]
-                words.update(flat)
-                ends += len(split)
-                # subword pairs: an id and the one before it; texts begin after the end id
-                ids = enc.encode(flat)
-                seq, i = [], 0
-                for ws in split:
-                    seq.append(end.tobytes())
-                    seq += ids[i : i + len(ws)]
-                    i += len(ws)
-                seq = np.frombuffer(b"".join([*seq, end.tobytes()]), "<u4").astype(np.int64)
-                pairs += np.bincount(seq[1:] * BUCKETS + seq[:-1] * 2654435761 % 4294967296 * BUCKETS // 4294967296, minlength=len(pairs))
-                if len(words) > 1_000_000:
-                    yield from rows()
+            for text in _texts(b, "text"):
+                words.update(text.lower().split())
+                ends += 1
+            if len(words) > 600_000:
+                yield from rows()
         yield from rows()
         at = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int8)), pa.array(at), pa.array(pairs[at])], names=["kind", "key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int8)), pa.array(at), pa.array(pairs[at].astype(np.int64))], names=["kind", "key", "n"])
         if ends:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int8()), pa.array([END_KEY]), pa.array([ends])], names=["kind", "key", "n"])
+            last = int.from_bytes(end, "little") * BUCKETS
+            yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int8()), pa.array([END_KEY, last]), pa.array([ends, ends])], names=["kind", "key", "n"])
 
     return run
 
@@ -110,30 +110,24 @@ def _train(shared: Broadcast, path: str, part: int):
         trainer = Trainer(flat, vocab)
         waiting: list[bytes] = []
 
-        def learn(least: int) -> None:
-            nonlocal waiting
-            ids = [np.frombuffer(x, "<u4") for x in waiting]
+        def learn() -> None:
+            ids = [np.frombuffer(x, "<u4") for x in enc.encode(waiting)]
             cur, prev, tgt, _ = lay_out(np.concatenate(ids), np.array([len(x) for x in ids]), vocab, end)
-            tgt = tgt.copy()
-            n = len(cur) // least * least if least else len(cur)
-            for a in range(0, n, 64):
-                trainer.step(cur[a : a + 64], prev[a : a + 64], tgt[a : a + 64])
-            waiting = []
+            for a in range(0, len(cur), STEP):
+                trainer.step(cur[a : a + STEP], prev[a : a + STEP], tgt[a : a + STEP])
+            waiting.clear()
 
-        size = 0
         for b in batches:
             for doc, text in zip(b.column(b.schema.get_field_index("id")).to_pylist(), _texts(b, "text"), strict=True):
-                words = text.lower().split()
-                first = zlib.crc32(str(doc).encode()) + part * (EVERY // ROUNDS)
-                for a in range(first % EVERY * SPAN, max(1, len(words)), EVERY * SPAN):
-                    ids = b"".join(enc.encode(words[a : a + SPAN]))
-                    waiting.append(ids)
-                    size += len(ids) // 4 + 1
-                if size >= 4096:
-                    learn(0)
-                    size = 0
+                # runs are found by bytes, so that only their own words are split; words cut at an end are left out
+                first = (zlib.crc32(str(doc).encode()) + part * (EVERY // ROUNDS)) % EVERY * SPAN_BYTES
+                for a in range(first, len(text), EVERY * SPAN_BYTES):
+                    words = text[a : a + SPAN_BYTES].lower().split()
+                    waiting.append(b" ".join(words[a > 0 : len(words) - (a + SPAN_BYTES < len(text))]))
+                if len(waiting) >= STEP:
+                    learn()
         if waiting:
-            learn(0)
+            learn()
         if trainer.tokens:
             for i, a in enumerate(range(0, len(flat), _SLICE)):
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([trainer.tokens], pa.int64()), pa.array([trainer.flat[a : a + _SLICE].tobytes()])], names=["slice", "n", "w"])
@@ -185,53 +179,93 @@ def fit(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str = "text
     return Model(counts, sum(r.n for r in levels), sum(r.v for r in levels), hot_from, shared, path)
 
 
+class _Codes(dict):
+    """Words by number in order of appearance; ``new`` gathers those not seen before."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
+class _Words:
+    """Of words by number: log10(count + 1) (NaN: not a frequent word), key, ids as ``flat[at : at + size]``.
+
+    Frequent words are remembered for all tasks of a worker, so at most ``HOT`` of them; all others
+    only for the texts at hand.
+    """
+
+    def __init__(self, hot: np.ndarray, n_hot: np.ndarray, enc):
+        self.hot, self.n_hot, self.enc, self.known = hot, n_hot, enc, _Codes()
+        self.value, self.key, self.size, self.flat = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def look(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.hot):
+            return np.full(len(keys), np.nan)
+        at = np.minimum(np.searchsorted(self.hot, keys), len(self.hot) - 1)
+        return np.where(self.hot[at] == keys, np.log10(self.n_hot[at] + 1.0), np.nan)
+
+    def read(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
+        """(value, key, number of ids) of each word, and all their ids in order."""
+        known = self.known
+        code = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        new, known.new = known.new, []
+        value, key, size, flat = self.value, self.key, self.size, self.flat
+        if new:
+            keys = np.fromiter(map(word_key, new), np.int64, len(new))
+            own = self.enc.encode(new)
+            own_size = np.fromiter(map(len, own), np.int64, len(new)) // 4
+            own_value, own_flat = self.look(keys), np.frombuffer(b"".join(own), "<u4")
+            value, key = np.concatenate([value, own_value]), np.concatenate([key, keys])
+            size, flat = np.concatenate([size, own_size]), np.concatenate([flat, own_flat])
+        n = size[code]
+        at = np.cumsum(size) - size
+        ids = flat[np.arange(int(n.sum())) + np.repeat(at[code] - (np.cumsum(n) - n), n)] if len(code) else flat[:0]
+        out = value[code], key[code], n, ids
+        if new:
+            keep = ~np.isnan(own_value)
+            if keep.all():
+                self.value, self.key, self.size, self.flat = value, key, size, flat
+            else:
+                for w in new:
+                    del known[w]
+                for w in [w for w, k in zip(new, keep.tolist(), strict=True) if k]:
+                    dict.__setitem__(known, w, len(known))
+                self.value, self.key = np.concatenate([self.value, own_value[keep]]), np.concatenate([self.key, keys[keep]])
+                self.size = np.concatenate([self.size, own_size[keep]])
+                self.flat = np.concatenate([self.flat, own_flat[np.repeat(keep, own_size)]])
+        return out
+
+
 def _score(shared: Broadcast, path: str, names: list[str]):
     def run(batches):
         m, enc = shared.value, encoder(path)
         vocab, hot, n_hot = m["vocab"], m["key"], m["n"]
         scorer = Scorer(m["flat"], vocab)
         end_id = enc.tok.token_to_id("<|endoftext|>") or 0
-        known = {}
-        value, key, size, ids = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), []
-
-        def look(keys):
-            at = np.minimum(np.searchsorted(hot, keys), max(len(hot) - 1, 0))
-            if not len(hot):
-                return np.full(len(keys), np.nan)
-            return np.where(hot[at] == keys, np.log10(n_hot[at] + 1.0), np.nan)
-
-        end_value, uid = look(np.array([END_KEY]))[0], TaskContext.get().partitionId() << 36
+        seen = m.setdefault("words", _Words(hot, n_hot, enc))
+        end_value, uid = seen.look(np.array([END_KEY]))[0], TaskContext.get().partitionId() << 36
         for b in batches:
             texts, doc = _texts(b, "text"), b.column(b.schema.get_field_index("id"))
             out = b.column(b.schema.get_field_index("held_out"))
             at = 0
             while at < len(texts):
                 words, lengths, chars, first = [], [], 0, at
-                while at < len(texts) and chars < 600_000:
+                while at < len(texts) and chars < 1_500_000:
                     ws = texts[at].lower().split()
                     words += ws
                     lengths.append(len(ws))
                     chars += len(texts[at])
                     at += 1
-                new = list(set(words).difference(known))
-                if len(known) + len(new) > _KEPT:
-                    known, ids, new = {}, [], list(set(words))
-                    value, key, size = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
-                if new:
-                    known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-                    keys = np.fromiter(map(word_key, new), np.int64, len(new))
-                    ids += enc.encode(new)
-                    key, value = np.concatenate([key, keys]), np.concatenate([value, look(keys)])
-                    size = np.concatenate([size, np.fromiter(map(len, ids[-len(new) :]), np.int64, len(new)) // 4])
-                code = list(map(known.__getitem__, words))
-                flat = np.frombuffer(b"".join(map(ids.__getitem__, code)), "<u4")
-                code = np.array(code, np.int64)
+                v, key, n, flat = seen.read(words)
                 lengths = np.array(lengths, np.int64)
                 ends = np.cumsum(lengths)
                 cum = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])])  # noqa: E731,B023
-                v = value[code]
                 rare = np.isnan(v)
-                n_ids = cum(size[code])
+                n_ids = cum(n)
                 cur, prev, tgt, starts = lay_out(flat, n_ids, vocab, end_id)
                 logp = np.add.reduceat(scorer.blocks(cur, prev, tgt), starts)
                 n_rare = cum(rare) + np.isnan(end_value)
@@ -240,7 +274,7 @@ def _score(shared: Broadcast, path: str, names: list[str]):
                     own = v[e - lengths[i] : e]
                     own = own[~np.isnan(own)]
                     sums[i], n_known[i] = own.sum() + np.nan_to_num(end_value), len(own) + (not np.isnan(end_value))
-                rare_keys = key[code[rare]]
+                rare_keys = key[rare]
                 if np.isnan(end_value):
                     rare_keys = np.insert(rare_keys, np.cumsum(cum(rare)), END_KEY)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]), pa.int32()), pa.array(rare_keys))
