@@ -6,6 +6,8 @@ windows retain the same place, about one word in twenty. Retained suffixes are b
 their first ``GRAM`` words; neighbours in that order are compared, extended left and right over all
 windows that the place stands for (its neighbourhood), and fall into classes of equal extension.
 
+* Neighbouring places form runs, cut where their content says so; a run that occurred earlier as a
+  whole is done at once, in one row however long it is. Only first runs go on.
 * In a class, every window of every member repeats those of the first member: done at once.
 * Where one gram has several classes, matches may end within the neighbourhood. Only for the first
   member of each class are the windows looked at one by one, from the text, and equal ones joined.
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, free_name, table
 
 MIN_WORDS, GRAM = 50, 10
+#: places that follow each other in a run, on average
+RUN = 2
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: low bits that hold a place among the texts taken at once; the first of equal hashes is retained
@@ -107,6 +111,13 @@ def _key(df: DataFrame, id: str, text: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(id).cast("long"), F.lit(2**63 - 1)), F.xxhash64(text)
 
 
+def runs_of(text: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Where runs of neighbouring places begin: with a text, and at grams that their hash selects."""
+    if not len(text):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]) | (grams % RUN == 0))
+
+
 def _find(least: int, gram: int):
     def run(batches):
         words = Words()
@@ -121,8 +132,17 @@ def _find(least: int, gram: int):
                     lengths.append(len(ws))
                     at += 1
                 t, g, around, lo, hi = places(words.hashes(flat), np.array(lengths, np.int64), least, gram)
-                rows = pa.array(t + first)
-                yield pa.RecordBatch.from_arrays([b.column("d").take(rows), b.column("th").take(rows), pa.array(g), pa.array(around), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["d", "th", "gram", "around", "lo", "hi"])
+                start = runs_of(t, g)
+                end = np.append(start, len(t))[1:]
+                sums, inverse = prefixes(around.view(np.uint64))
+                run_hash = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64)).view(np.int64)
+                lo, hi = lo.astype(np.int32), hi.astype(np.int32)
+                each = pa.StructArray.from_arrays([pa.array(x) for x in (g, around, lo, hi)], ["gram", "around", "lo", "hi"])
+                rows = pa.array(t[start] + first)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("d").take(rows), b.column("th").take(rows), pa.array(run_hash), pa.array(lo[start]), pa.array(hi[end - 1] if len(end) else hi), pa.ListArray.from_arrays(pa.array(np.append(start, len(t)).astype(np.int32)), each)],
+                    names=["d", "th", "run", "lo", "hi", "places"],
+                )
 
     return run
 
@@ -156,13 +176,14 @@ def _merged(least: int):
                         out.append([r["lo"], r["hi"] + least])
                 spans.append([{"start": s, "end": e} for s, e in out])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column("d"), b.column("th"), pa.array(spans, kind)], names=["d", "th", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column("d"), b.column("th"), b.column("sources"), pa.array(spans, kind)], names=["d", "th", "sources", "spans"])
 
     return run
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, text: str = "text", id: str = "doc_id", least: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
-    """``(d, th, spans)`` of every text with repeats: words [start, end) that occur earlier.
+    """``(d, th, sources, spans)`` of every text with repeats: words [start, end) that occur earlier, and
+    the ids of the texts in which they occur first.
 
     ``d`` is the id (the largest long for a null id, which so comes last), ``th`` the text's XXH64.
     Rows equal in both are one text: they are not repeats of each other and share their result.
@@ -171,22 +192,28 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text: str = "text", id: st
     """
     d, th = _key(docs, id, text)
     docs = docs.select(d.alias("d"), th.alias("th"), F.col(text).alias("text"))
-    found = scratch.write(docs.mapInArrow(_find(least, gram), "d bigint, th bigint, gram bigint, around bigint, lo int, hi int"))
+    each = "array<struct<gram: bigint, around: bigint, lo: int, hi: int>>"
+    found = scratch.write(docs.mapInArrow(_find(least, gram), f"d bigint, th bigint, run bigint, lo int, hi int, places {each}"))
     order = F.struct("d", "th", "lo")
+    # runs of places first: what repeats an earlier run as a whole is done in one row
+    firsts = found.groupBy("run").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first != last").select("run", "first")
+    found = scratch.write(found.join(firsts, "run", "left").select("d", "th", "lo", "hi", "places", F.coalesce(order != F.col("first"), F.lit(False)).alias("repeat"), F.col("first.d").alias("source")))
+    runs = found.filter("repeat").select("d", "th", "lo", "hi", "source")
+    found = found.filter("not repeat").select("d", "th", F.explode("places").alias("p")).select("d", "th", "p.*")
     classes = scratch.write(found.groupBy("gram", "around").agg(F.min(F.struct("d", "th", "lo", "hi")).alias("first"), F.count(F.lit(1)).alias("n")))
     several = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("gram")
     # members after the first of their class
     firsts = classes.filter("n > 1").select("gram", "around", F.struct("first.d", "first.th", "first.lo").alias("first"))
-    whole = found.join(firsts, ["gram", "around"]).filter(order != F.col("first")).select("d", "th", "lo", "hi")
+    whole = found.join(firsts, ["gram", "around"]).filter(order != F.col("first")).select("d", "th", "lo", "hi", F.col("first.d").alias("source"))
     # windows of first members, where a gram has several classes
     part = classes.join(several, "gram").select("first.d", "first.th", "first.lo", "first.hi")
     part = part.groupBy("d", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     part = docs.withColumnsRenamed({"d": "doc_d", "th": "doc_th"}).join(part, (F.col("doc_d") == F.col("d")) & (F.col("doc_th") == F.col("th")))
     windows = scratch.write(part.select("d", "th", "text", "runs").mapInArrow(_windows(least), "d bigint, th bigint, w bigint, lo int"))
     firsts = windows.groupBy("w").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first != last").select("w", "first")
-    single = windows.join(firsts, "w").filter(order != F.col("first")).select("d", "th", "lo", F.col("lo").alias("hi"))
-    runs = whole.union(single).groupBy("d", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    return runs.mapInArrow(_merged(least), "d bigint, th bigint, spans array<struct<start: int, end: int>>")
+    single = windows.join(firsts, "w").filter(order != F.col("first")).select("d", "th", "lo", F.col("lo").alias("hi"), F.col("first.d").alias("source"))
+    runs = runs.union(whole).union(single).groupBy("d", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"), F.sort_array(F.collect_set(F.nullif("source", F.lit(2**63 - 1)))).alias("sources"))
+    return runs.mapInArrow(_merged(least), "d bigint, th bigint, sources array<bigint>, spans array<struct<start: int, end: int>>")
 
 
 def _cut(keep: list[str], text: str, spans: str):
@@ -220,7 +247,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", leas
     All rows and columns stay; what remains of a text is unchanged, and a text may become empty.
     """
     scratch = Scratch(docs.sparkSession)
-    spans = repeated_spans(docs, scratch, text, id, least, gram)
+    spans = repeated_spans(docs, scratch, text, id, least, gram).drop("sources")
     names = {n: free_name(docs, n + "_of_repeat") for n in ("d", "th", "spans")}
     spans = spans.withColumnsRenamed(names)
     d, th = _key(docs, id, text)
@@ -232,7 +259,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", leas
 def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` with the words that repeat earlier passages of 50 words or more.
 
-    doc_id, n_spans, n_repeated_words, spans (words [start, end) at ASCII white space; null: none).
+    doc_id, n_spans, n_repeated_words, spans (words [start, end) at ASCII white space; null: none) and
+    sources, the ids of the documents in which these passages occur first.
     """
     docs, scratch = table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark)
     spans = repeated_spans(docs, scratch)
@@ -240,4 +268,4 @@ def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = docs.select("doc_id", d.alias("doc_d"), th.alias("doc_th"))
     out = own.join(spans, (F.col("doc_d") == F.col("d")) & (F.col("doc_th") == F.col("th")), "left")
     words = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return out.select("doc_id", F.coalesce(F.size("spans"), F.lit(0)).cast("int").alias("n_spans"), F.coalesce(words, F.lit(0)).cast("long").alias("n_repeated_words"), "spans")
+    return out.select("doc_id", F.coalesce(F.size("spans"), F.lit(0)).cast("int").alias("n_spans"), F.coalesce(words, F.lit(0)).cast("long").alias("n_repeated_words"), "spans", "sources")

@@ -53,6 +53,13 @@ def test_against_all_windows(spark, least, gram):
     assert sorted((r.d, words_of(r.spans)) for r in got) == sorted((d, w) for (d, _), w in want.items())
 
 
+def test_sources(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(9, f"a {passage}"), (4, f"b {passage} c"), (7, f"{passage} d"), (8, "clean text"), (None, passage)]
+    got = {r.d: r.sources for r in repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).collect()}
+    assert got == {7: [4], 9: [4], 2**63 - 1: [4]}
+
+
 def test_texts_without_repeats(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(1, f"one  {passage}\ntail", "x"), (2, f"two\t{passage}", "y"), (3, f" {passage}  three  four ", "z"), (4, None, "n"), (5, "", "e")]
