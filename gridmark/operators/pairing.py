@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as K
 from ..functions.text import label_key
+from .folds import fold_sorted
 
 _KEY = ["feuillet_n", "element_n"]
 
@@ -23,7 +24,8 @@ def pair_records(records: DataFrame) -> DataFrame:
     Each plan card takes the first unused shop card of its label in input order: of its own type
     where the label has any, else of any type. Labels in which all plan cards draw from one list
     (typed or not) are a full outer join on the place in it; only labels that mix both go through a
-    fold of their few cards. Records of an unknown side are left out.
+    fold of their few cards. ``ord`` tells the cards of a side and label apart. Records of an unknown
+    side are left out.
     Returns statut (paire, manquant, ajoute), the label and both records as nullable structs.
     """
     own = [c for c in records.columns]
@@ -44,26 +46,21 @@ def pair_records(records: DataFrame) -> DataFrame:
     joined = a.join(b, [*_KEY, "pool", "place"], "full_outer").select(*_KEY, "plan", "atelier")
     mixed = rows.join(modes.filter("mode = 'mixed'").drop("mode"), _KEY, "left_semi").select(*_KEY, "type_n", "source", "ord")
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ord")
-        free = group[group.source == "atelier"]
-        by_type = {t: list(x.ord) for t, x in free.groupby("type_n")}
-        used: set[int] = set()
-        out = []
-        for p in group[group.source == "plan"].itertuples():
-            wanted = by_type.get(p.type_n) if p.type_n else None
-            take = next((o for o in (wanted or list(free.ord)) if o not in used), None)
-            if take is not None:
+    def fold(group: list[tuple]) -> list[tuple]:
+        label, out, used = group[0][:2], [], set()
+        free = [(kind, o) for _, _, kind, side, o in group if side == "atelier"]
+        for _, _, kind, side, o in group:
+            if side == "plan":
+                wanted = [x for k, x in free if k == kind] if kind else []
+                take = next((x for x in wanted or [x for _, x in free] if x not in used), None)
                 used.add(take)
-            out.append((p.ord, take))
-        out += [(None, o) for o in free.ord if o not in used]
-        first = group.iloc[0]
-        return pd.DataFrame({"feuillet_n": first.feuillet_n, "element_n": first.element_n, "p": pd.array([p for p, _ in out], "Int64"), "a": pd.array([a for _, a in out], "Int64")})
-
-    links = mixed.groupBy(*_KEY).applyInPandas(fold, "feuillet_n string, element_n string, p long, a long")
-    cards = rows.select("ord", "source", "card")
-    links = links.join(cards.filter("source = 'plan'").select(F.col("ord").alias("p"), F.col("card").alias("plan")), "p", "left")
-    links = links.join(cards.filter("source = 'atelier'").select(F.col("ord").alias("a"), F.col("card").alias("atelier")), "a", "left")
+                out.append((*label, o, take))
+        return out + [(*label, None, o) for _, o in free if o not in used]
+
+    links = fold_sorted(mixed, _KEY, ["ord"], fold, "feuillet_n string, element_n string, p bigint, a bigint")
+    cards = rows.join(modes.filter("mode = 'mixed'").drop("mode"), _KEY, "left_semi").select(*_KEY, "ord", "source", "card")
+    links = links.join(cards.filter("source = 'plan'").select(*_KEY, F.col("ord").alias("p"), F.col("card").alias("plan")), [*_KEY, "p"], "left")
+    links = links.join(cards.filter("source = 'atelier'").select(*_KEY, F.col("ord").alias("a"), F.col("card").alias("atelier")), [*_KEY, "a"], "left")
     out = joined.unionByName(links.select(*_KEY, "plan", "atelier"))
     return out.withColumn("statut", F.when(F.col("atelier").isNull(), "manquant").when(F.col("plan").isNull(), "ajoute").otherwise("paire"))
 
@@ -129,16 +126,17 @@ def refile(shops: DataFrame, plans: DataFrame, storeys: DataFrame) -> DataFrame:
     plan = plans.select("feuillet", "element").distinct().join(of, "feuillet").select(F.lit(0).cast("long").alias("ord"), "feuillet", "element", F.lit(True).alias("plan"), "storey")
     known = shop.filter("storey is not null").unionByName(plan)
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        plan_sheets = set(g[g["plan"]].feuillet)
-        mine = g[~g["plan"]].sort_values("ord")
-        taken, rows = set(mine.feuillet), []
-        for r in mine.itertuples():
-            homes = plan_sheets - taken - {r.feuillet} if r.feuillet not in plan_sheets else set()
-            to = homes.pop() if len(homes) == 1 else r.feuillet
-            taken.add(to)
-            rows.append((r.ord, to, r.element, to != r.feuillet))
-        return pd.DataFrame(rows, columns=["ord", "feuillet", "element", "moved"])
-
-    out = known.groupBy("storey", "element").applyInPandas(fold, "ord long, feuillet string, element string, moved boolean")
+    def fold(g: list[tuple]) -> list[tuple]:
+        plan_sheets = {sheet for _, sheet, _, plan, _ in g if plan}
+        taken, rows = {sheet for _, sheet, _, plan, _ in g if not plan}, []
+        for o, sheet, element, plan, _ in g:
+            if not plan:
+                homes = plan_sheets - taken - {sheet} if sheet not in plan_sheets else set()
+                to = homes.pop() if len(homes) == 1 else sheet
+                taken.add(to)
+                rows.append((o, to, element, to != sheet))
+        return rows
+
+    known = known.select("ord", "feuillet", "element", "plan", "storey")
+    out = fold_sorted(known, ["storey", "element"], ["ord"], fold, "ord bigint, feuillet string, element string, moved boolean")
     return out.unionByName(shop.filter("storey is null").select("ord", "feuillet", "element", F.lit(False).alias("moved")))
