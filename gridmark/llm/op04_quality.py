@@ -30,7 +30,7 @@ _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 _JUNK = re.compile(r"[!*#$%&]{2,}$")
 _BINS = (0.0, 0.01, 0.03, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.97)
 _SHAPES = ("junk", "bars", "upper", "same", "unique", "symbols")
-_KEPT = 300_000
+_KEPT = 150_000
 #: a word's beginnings count as features beside it, for words formed from a known stem
 _PREFIXES = (4, 5, 6)
 #: words that a text's shares are shrunk by, so that a few words say little about its shape

@@ -25,6 +25,8 @@ from .common import Scratch, by_key, free_name, groups_of, table
 #: pieces that a partition packs at once, about
 DEAL = 60_000
 SHRINK = 8
+#: pieces in the young half of a worker's cache
+PIECES = 350_000
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
@@ -101,6 +103,7 @@ def _pieces(docs: DataFrame, text: str, path: str, capacity: int, end_id: int, w
 
     def run(batches):
         enc, n = encoder(path), 0
+        enc.most = PIECES
         base = TaskContext.get().partitionId() << 36
         for b in batches:
             texts = b.column(b.schema.get_field_index(text)).cast(pa.binary()).to_pylist()

@@ -36,7 +36,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: low bits that hold a place among the texts taken at once; the first of equal hashes is retained
 _POS_BITS = 31
-_KNOWN = 300_000
+_KNOWN = 150_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
