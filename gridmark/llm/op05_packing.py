@@ -26,7 +26,7 @@ from .common import Scratch, by_key, free_name, groups_of, table
 DEAL = 60_000
 SHRINK = 8
 #: pieces in the young half of a worker's cache
-PIECES = 350_000
+PIECES = 550_000
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
