@@ -1,9 +1,9 @@
 """Language-model scoring: a word-count baseline and a causal self-attention model on subword ids.
 
 Fitting reads all training texts: one pass counts words and, within them, subword pairs (partial counts
-of every task meet in a shuffle), then each training round lets every task train a copy of the model on a
-fixed fraction of its own windows and averages the copies by their tokens. What is gathered grows
-with the input; what is collected is bounded by the subword vocabulary and the model's size.
+of every task meet in a shuffle), then each training round lets every task train a copy of the model on its
+share of the texts, whole, and averages the copies by their tokens; each text is trained on in one of the
+rounds. What is gathered grows with the input; what is collected is bounded by the subword vocabulary and the model's size.
 
 Scoring is one pass. Frequent words (at most ``HOT`` of them, by a threshold on counts) are broadcast;
 the counts of all other words are joined to the texts' remaining words in a shuffle.
@@ -29,10 +29,10 @@ from .common import Scratch, by_key, groups_of, table
 #: words whose counts may be broadcast: 16 bytes each
 HOT = 1 << 19
 BUCKETS = 16
-#: of a text's runs of SPAN_BYTES, one of EVERY is trained on in each of ROUNDS rounds
-SPAN_BYTES, EVERY, ROUNDS = 400, 24, 2
-#: blocks of a training step; texts' runs wait until there are as many
-STEP = 64
+#: of the texts, one of EVERY is trained on, whole, in each of ROUNDS rounds: all of them where both are the same
+EVERY, ROUNDS = 2, 2
+#: blocks of a training step; texts wait until there are WAIT bytes of them
+STEP, WAIT = 64, 200_000
 _SLICE = 4096
 #: the key of a text's end; words have the XXH64 of their bytes
 END_KEY = xxhash.xxh64_intdigest(b" end of text ") - (1 << 63)
@@ -109,6 +109,7 @@ def _train(shared: Broadcast, path: str, part: int):
         vocab, flat = shared.value["vocab"], shared.value["flat"]
         trainer = Trainer(flat, vocab)
         waiting: list[bytes] = []
+        size = 0
 
         def learn() -> None:
             ids = [np.frombuffer(x, "<u4") for x in enc.encode(waiting)]
@@ -119,13 +120,13 @@ def _train(shared: Broadcast, path: str, part: int):
 
         for b in batches:
             for doc, text in zip(b.column(b.schema.get_field_index("id")).to_pylist(), _texts(b, "text"), strict=True):
-                # runs are found by bytes, so that only their own words are split; words cut at an end are left out
-                first = (zlib.crc32(str(doc).encode()) + part * (EVERY // ROUNDS)) % EVERY * SPAN_BYTES
-                for a in range(first, len(text), EVERY * SPAN_BYTES):
-                    words = text[a : a + SPAN_BYTES].lower().split()
-                    waiting.append(b" ".join(words[a > 0 : len(words) - (a + SPAN_BYTES < len(text))]))
-                if len(waiting) >= STEP:
+                if zlib.crc32(str(doc).encode()) % EVERY != part * (EVERY // ROUNDS) % EVERY:
+                    continue
+                waiting.append(b" ".join(text.lower().split()))
+                size += len(text)
+                if size >= WAIT:
                     learn()
+                    size = 0
         if waiting:
             learn()
         if trainer.tokens:

@@ -1,8 +1,10 @@
 import math
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridmark.llm import op01_scoring as op
@@ -125,3 +127,25 @@ def test_learns(spark, monkeypatch):
         model = op.fit(df.filter(~op.held_out("doc_id")), scratch)
         total.append(sum(r.score for r in op.score(df, model, scratch, op.held_out("doc_id")).filter("held_out").collect()))
     assert total[1] > total[0] + 500
+
+
+def test_every_training_text_is_trained_on_whole(monkeypatch):
+    rng = np.random.default_rng(13)
+    enc = op.encoder(op.default_path())
+    texts = [" ".join(f"w{int(i)}" for i in rng.integers(0, 50, n)) for n in (0, 1, 3, 20, 40, 70, 150, 2000)] * 4
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    vocab = small_vocab(rng, len(enc.names))
+    seen = Counter()
+
+    class Recorder(Trainer):
+        def step(self, cur, prev, tgt):
+            seen.update(tgt[tgt >= 0].tolist())
+            self.tokens += int((tgt >= 0).sum())
+
+    monkeypatch.setattr(op, "Trainer", Recorder)
+    for part in range(op.ROUNDS):
+        list(op._train(SimpleNamespace(value={"vocab": vocab, "flat": start(vocab)}), op.default_path(), part)([batch]))
+    end = enc.tok.token_to_id("<|endoftext|>") or 0
+    want = Counter(i for ids in enc.encode([t.encode() for t in texts]) for i in np.frombuffer(ids, "<u4").tolist())
+    want[end] += len(texts)
+    assert seen == want
