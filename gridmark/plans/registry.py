@@ -498,13 +498,23 @@ def refile(spark, d):
     return pairing.refile(shops, names.filter("source = 'plan' and feuillet in ('S-501', 'S-502')").select("feuillet", "element"), storeys)
 
 
+def _word_overlap(spark, d, documents):
+    docs = documents.select("doc_id", F.explode(F.array_distinct(T.title_words("text"))).alias("w"))
+    items = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(T.title_words("text"))).alias("w"))
+    return docs.join(items, "w").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
+
+
 @query("""with w as (select doc_id, unnest(list_distinct(regexp_extract_all(upper(strip_accents(text)), '[A-Z]{4,}'))) as w from documents where n_chars < 400), b as (select item_id, unnest(list_distinct(regexp_extract_all(upper(strip_accents(text)), '[A-Z]{4,}'))) as w from benchmark),
   w2 as (select distinct doc_id, rtrim(w, 'S') as w from w), b2 as (select distinct item_id, rtrim(w, 'S') as w from b)
   select doc_id, item_id, count(*) as shared from w2 join b2 on w2.w = b2.w group by doc_id, item_id""")
 def word_overlap_rank(spark, d):
-    docs = table(spark, d, "documents").filter("n_chars < 400").select("doc_id", F.explode(F.array_distinct(T.title_words("text"))).alias("w"))
-    items = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(T.title_words("text"))).alias("w"))
-    return docs.join(items, "w").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
+    return _word_overlap(spark, d, table(spark, d, "documents").filter("n_chars < 400"))
+
+
+@query()
+def word_overlap_all(spark, d):
+    """``word_overlap_rank`` over documents of every length."""
+    return _word_overlap(spark, d, table(spark, d, "documents"))
 
 
 # -- readings --
