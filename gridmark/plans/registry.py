@@ -114,7 +114,7 @@ def unit_convert(spark, d):
 @query("""select distinct t as title, array_to_string(list_transform(string_split(t, ','), lambda x: trim(replace(x, '/', '-'))), ';') as names from (select replace(element, '-', '/') || ', ' || element as t from v_bar
     where cast(split_part(element, '-', 2) as int) < 100)""")
 def name_split(spark, d):
-    t = _bars(spark, d).filter(F.split_part("element", F.lit("-"), F.lit(2)).cast("int") < 100).select(F.concat(F.replace("element", F.lit("-"), F.lit("/")), F.lit(", "), F.col("element")).alias("title")).distinct()
+    t = _bars(spark, d).select(F.concat(F.replace("element", F.lit("-"), F.lit("/")), F.lit(", "), F.col("element")).alias("title")).distinct()
     return t.select("title", F.array_join(T.detail_names("title"), ";").alias("names"))
 
 

@@ -20,3 +20,17 @@ def test_word_overlap_of_long_documents(spark, tmp_path):
     assert any(d >= 3 for d, _, _ in want)
     got = registry.QUERIES["word_overlap_all"](spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.item_id, r.shared) for r in got) == want
+
+
+def _bars_of_many_parts(spark, path):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    lines.withColumn("l_partkey", (F.col("l_partkey") * 97 + 2600).cast(lines.schema["l_partkey"].dataType)).write.parquet(f"{path}/lineitem.parquet")
+    return [r.asDict() for r in registry._bars(spark, str(path)).collect()]
+
+
+def test_name_split_of_all_elements(spark, tmp_path):
+    names = {b["element"] for b in _bars_of_many_parts(spark, tmp_path)}
+    assert any(int(n.split("-")[1]) >= 100 for n in names)
+    got = registry.QUERIES["name_split"](spark, str(tmp_path)).collect()
+    split = lambda n: f"{n};{n}" if int(n.split("-")[1]) < 100 else ""  # a name has two digits at most
+    assert sorted((r.title, r.names) for r in got) == sorted((f"{n.replace('-', '/')}, {n}", split(n)) for n in names)
