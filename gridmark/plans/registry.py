@@ -269,6 +269,12 @@ def sheet_key_sets(spark, d):
     return reporting.name_sets(_bars(spark, d).filter("quantite > 30"))
 
 
+@query()
+def sheet_key_sets_all(spark, d):
+    """``sheet_key_sets`` over all bars, spaced ones too."""
+    return reporting.name_sets(_bars(spark, d))
+
+
 @query("""select id, min(ord) as ord, min_by(fichier, ord) as fichier, count(*) - 1 as repeats from (
     select feuillet || '_' || element || '_' || source as id, diametre || '.pdf' as fichier, cast(substr(diametre, 1, 2) as bigint) as ord from (select distinct source, feuillet, element, diametre from v_bar)) group by id""")
 def first_wins(spark, d):
@@ -494,8 +500,8 @@ def name_reconcile(spark, d):
 def refile(spark, d):
     names = _bars(spark, d).select("source", "feuillet", "element").distinct()
     storeys = spark.sql("select stack(4, 'S-500', 'N1', 'S-501', 'N1', 'S-502', 'N2', 'S-503', 'N2') as (sheet, storey)")
-    shops = names.filter("source = 'atelier' and feuillet in ('S-500', 'S-502')").select(F.crc32(F.concat("feuillet", "element")).alias("ord"), "feuillet", "element")
-    return pairing.refile(shops, names.filter("source = 'plan' and feuillet in ('S-501', 'S-502')").select("feuillet", "element"), storeys)
+    shops = names.filter("source = 'atelier'").select(F.crc32(F.concat("feuillet", "element")).alias("ord"), "feuillet", "element")
+    return pairing.refile(shops, names.filter("source = 'plan'").select("feuillet", "element"), storeys)
 
 
 def _word_overlap(spark, d, documents):

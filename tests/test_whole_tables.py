@@ -1,6 +1,7 @@
 """Queries over rows that earlier filters left out."""
 
 import re
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -34,3 +35,27 @@ def test_name_split_of_all_elements(spark, tmp_path):
     got = registry.QUERIES["name_split"](spark, str(tmp_path)).collect()
     split = lambda n: f"{n};{n}" if int(n.split("-")[1]) < 100 else ""  # a name has two digits at most
     assert sorted((r.title, r.names) for r in got) == sorted((f"{n.replace('-', '/')}, {n}", split(n)) for n in names)
+
+
+def test_sheet_key_sets_of_all_bars(spark):
+    sides = {}
+    for b in registry._bars(spark, SF).collect():
+        sides.setdefault(b.feuillet, {"plan": set(), "atelier": set()})[b.source].add(b.element)
+    want = sorted((f, len(s["plan"]), len(s["atelier"]), len(s["plan"] & s["atelier"]), len(s["plan"] - s["atelier"]), len(s["atelier"] - s["plan"])) for f, s in sides.items())
+    got = registry.QUERIES["sheet_key_sets_all"](spark, SF).collect()
+    assert sorted((r.feuillet, r.plan, r.atelier, r.paired, r.plan_only, r.atelier_only) for r in got) == want
+
+
+def test_refile_reads_all_sheets_of_both_sides(spark):
+    names = {(b.source, b.feuillet, b.element) for b in registry._bars(spark, SF).collect()}
+    plans = {n[1:] for n in names if n[0] == "plan"}
+    shops = sorted((n[1:] for n in names if n[0] == "atelier"), key=lambda n: zlib.crc32("".join(n).encode()))
+    storey, taken, want = {"S-500": 1, "S-501": 1, "S-502": 2, "S-503": 2}, set(shops), []
+    for sheet, element in shops:
+        homes = [s for s in storey if storey[s] == storey[sheet] and s != sheet and (s, element) in plans and (s, element) not in taken]
+        to = homes[0] if len(homes) == 1 and (sheet, element) not in plans else sheet
+        taken.add((to, element))
+        want.append((to, element, to != sheet))
+    got = registry.QUERIES["refile"](spark, SF).collect()
+    assert {f for f, _, _ in want} == set(storey)
+    assert sorted((r.feuillet, r.element, r.moved) for r in got) == sorted(want)
