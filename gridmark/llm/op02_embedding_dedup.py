@@ -30,6 +30,8 @@ LEAST, MARGIN = 0.9, 0.03
 BLOCK = 2048
 #: vectors up to which two hashes to a bucket are selective enough
 TWO_HASHES = 2_000_000
+#: tables by hashes to a bucket: with three, enough that a pair is missed by all no more often than with two
+TABLES = {2: 5, 3: 12}
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -189,7 +191,7 @@ def exact_links(members: DataFrame, scratch: Scratch, least: float) -> tuple[Dat
     return out.filter("b < 0").groupBy(F.col("a").alias("uid")).agg(F.sum("n").alias("n_links")), out.filter("b >= 0").select("a", "b")
 
 
-def embedding_near_dedup(df: DataFrame, vec: str = "embedding", id: str = "vec_id", least: float = LEAST, tables: int = 5, hashes: int | None = None) -> DataFrame:
+def embedding_near_dedup(df: DataFrame, vec: str = "embedding", id: str = "vec_id", least: float = LEAST, tables: int | None = None, hashes: int | None = None) -> DataFrame:
     """Links of cosine >= ``least`` between all rows: (id, n_links, component_id, kept), a row for each.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and
@@ -201,7 +203,7 @@ def embedding_near_dedup(df: DataFrame, vec: str = "embedding", id: str = "vec_i
     rows = scratch.write(numbered(df, vec, id))
     good = rows.filter("vec is not null")
     hashes = hashes or (2 if good.count() <= TWO_HASHES else 3)
-    may = scratch.write(candidate_components(good, scratch, least, hashes, tables))
+    may = scratch.write(candidate_components(good, scratch, least, hashes, tables or TABLES.get(hashes, 5)))
     members = good.join(may.withColumnRenamed("node", "uid"), "uid")
     n, links = exact_links(members.select("root", "uid", "dim", "vec"), scratch, least)
     roots = components(spark, links, scratch).withColumnRenamed("node", "uid")

@@ -68,3 +68,32 @@ def test_test_data(spark):
     t = pq.read_table(path).to_pydict()
     rows = [(i, None if v is None else [float(x) if x is not None else None for x in v]) for i, v in zip(t["vec_id"], t["embedding"], strict=True)]
     assert got(spark.read.parquet(path)) == brute(rows)
+
+
+def test_large_tables_miss_no_more_pairs(monkeypatch):
+    rng = np.random.default_rng(41)
+    for dim in (64, 768):
+        a, z = rng.normal(size=(2, 600, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        z -= (z * a).sum(1, keepdims=True) * a
+        b = 0.9 * a + np.sqrt(1 - 0.81) * z / np.linalg.norm(z, axis=1, keepdims=True)
+        miss = {}
+        for hashes, tables in op.TABLES.items():
+            k = [op.bucket_keys(x, hashes, 4).reshape(len(a), 4, -1) for x in (a, b)]
+            met = (k[0][:, :, :, None] == k[1][:, :, None, :]).any((2, 3)).mean()
+            miss[hashes] = (1 - met) ** tables
+        assert miss[3] <= miss[2]
+
+
+def test_tables_follow_hashes(spark, monkeypatch):
+    used = []
+    real = op.candidate_components
+    monkeypatch.setattr(op, "candidate_components", lambda v, s, least, hashes, tables: used.append((hashes, tables)) or real(v, s, least, hashes, tables))
+    rng = np.random.default_rng(42)
+    x = rng.normal(size=(30, 16))
+    rows = [(i, (x[i % 30] + rng.normal(0, 0.05, 16)).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert got(df) == brute(rows)
+    monkeypatch.setattr(op, "TWO_HASHES", 0)
+    assert got(df) == brute(rows)
+    assert used == [(2, op.TABLES[2]), (3, op.TABLES[3])]
