@@ -1,20 +1,22 @@
 """Quality by ordinal cumulative-link regression on graded ratings.
 
-Grades 0 (toxic), 1 (poor but harmless) and 2 (good) share one weight vector on hashed words and on the
-shape of the text; ordered thresholds turn the score into P(grade <= k) = sigmoid(threshold_k - score),
-and so into an expected grade and a tail probability for selection.
+Grades 0 (toxic), 1 (poor but harmless) and 2 (good) share one weight vector over hashed text: every
+distinct word of a text, the word's beginnings and its shape are hashed to ``WIDTH`` weights, beside
+bins of the text's general statistics. Ordered thresholds turn the score into P(grade <= k) =
+sigmoid(threshold_k - score), and so into an expected grade and a tail probability for selection.
 
-The fit uses at most ``SAMPLE`` labelled rows (those of the smallest id hashes); scoring reads every
+The fit uses at most ``SAMPLE`` labelled texts (those of the smallest id hashes); scoring reads every
 text whole. Words count by presence, so that one word in a long text weighs as much as in a short one.
 """
 
 from __future__ import annotations
 
-import re
+import string
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -22,49 +24,81 @@ from pyspark.sql import functions as F
 
 from .common import free_name, table
 
-#: bounds of the fit: labelled rows, word features
-SAMPLE, FEATURES = 20_000, 4096
-LEAST_DF, LEAST_Z = 8, 6.0
+#: bounds of the fit: labelled texts, hashed weights
+SAMPLE, WIDTH = 20_000, 1 << 20
+#: texts in which a weight must be met to be learnt; texts of a step, least steps, passes over the sample, penalty
+LEAST_DF, STEP, STEPS, PASSES, SPARSE = 4, 256, 800, 10, 2.0
 GRADES = 3
-_EDGE = re.compile(r"^[^\w]+|[^\w]+$")
-_JUNK = re.compile(r"[!*#$%&]{2,}$")
+_EDGES = string.punctuation + "¡¿«»…“”„–—"
+#: what a byte of a word is for its shape: a capital, another letter (so all beyond ASCII), a digit, itself
+_SHAPE = np.arange(256, dtype=np.uint8)
+_SHAPE[65:91], _SHAPE[97:123], _SHAPE[128:], _SHAPE[48:58] = 65, 97, 97, 48
+_ALNUM = (_SHAPE == 65) | (_SHAPE == 97) | (_SHAPE == 48)
 _BINS = (0.0, 0.01, 0.03, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.97)
-_SHAPES = ("junk", "bars", "upper", "same", "unique", "symbols")
+#: shares of a text: capital words, words without letters and digits, symbols, neighbours repeated, distinct words
+_SHAPES = ("upper", "bare", "symbols", "same", "unique")
+N_BINS = len(_SHAPES) * (len(_BINS) + 1)
 _KEPT = 150_000
-#: a word's beginnings count as features beside it, for words formed from a known stem
-_PREFIXES = (4, 5, 6)
+_PREFIXES = (4, 5)
+#: hashes of a word: itself, its beginnings, its shape
+_HASHES = 2 + len(_PREFIXES)
 #: words that a text's shares are shrunk by, so that a few words say little about its shape
 _SHRINK = 10
 
 
+def word_facts(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word its weights' numbers (-1 for one it lacks) and (capital, bare, share of symbols).
+
+    The weights are those of the word without symbols at its ends, of its beginnings, and of its shape:
+    letters and digits as one each, symbols as one or two.
+    """
+    xx = xxhash.xxh64_intdigest
+    hashes = np.full((len(words), _HASHES), -1, np.int32)
+    for i, core in enumerate(w.strip(_EDGES).lower() for w in words):
+        if core:
+            hashes[i, 0] = xx(core) % WIDTH
+            for j, n in enumerate(_PREFIXES, 1):
+                if len(core) >= n:
+                    hashes[i, j] = xx("^" + core[:n]) % WIDTH
+    raw = np.frombuffer(" ".join(words).encode() + b" ", np.uint8)  # no word holds a space
+    kind = _SHAPE[raw]
+    same = np.concatenate([[False], kind[1:] == kind[:-1]])
+    shapes = kind[~same | ~_ALNUM[kind] & ~np.concatenate([[False], same[:-1]])].tobytes().split(b" ")[:-1]
+    of = {x: xx(b" " + x) % WIDTH for x in set(shapes)}
+    hashes[:, -1] = np.fromiter(map(of.__getitem__, shapes), np.int64, len(words))
+    ends = np.flatnonzero(raw == 32)
+    size = np.diff(ends, prepend=-1) - 1
+    letters = np.diff(np.cumsum(_ALNUM[kind])[ends], prepend=0)
+    upper = np.fromiter(map(str.isupper, words), bool, len(words)) & (size > 1)
+    return hashes, np.stack([upper, letters == 0, 1 - letters / size], 1).astype(np.float32)
+
+
 class Reader:
-    """Words and shape of texts; facts about a word are remembered up to a bound.
+    """Hashes and shape of texts; facts about a word are remembered up to a bound.
 
-    ``words``: known word hashes (sorted), or None to report every word's.
+    ``weights``: of hashes, to sum up by text; None to report every text's hashes.
     """
 
-    def __init__(self, words: np.ndarray | None):
-        self.words = words
+    def __init__(self, weights: np.ndarray | None):
+        self.weights = weights
         self._forget()
 
     def _forget(self) -> None:
         self.code: dict[str, int] = {}
-        self.hash, self.kind = np.zeros((0, 1 + len(_PREFIXES)), np.uint64 if self.words is None else np.int64), np.zeros((0, 4))
+        self.hash, self.kind = np.zeros((0, _HASHES) if self.weights is None else (0,), np.int32 if self.weights is None else np.float64), np.zeros((0, 3), np.float32)
 
     def _learn(self, new: list[str]) -> None:
         self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
-        core = [_EDGE.sub("", w).lower() for w in new]
-        xx = xxhash.xxh64_intdigest
-        hashes = np.array([[xx(c.encode()) if c else 0, *(xx(f"^{c[:n]}".encode()) if len(c) >= n else 0 for n in _PREFIXES)] for c in core], np.uint64)
-        # junk at the end, a bar, capitals, share of symbols
-        kind = [(bool(_JUNK.search(w)), w == "|", len(w) > 1 and w.isupper(), 1 - sum(map(str.isalnum, w)) / len(w)) for w in new]
-        if self.words is not None:  # places in the known words, -1 for others
-            at = np.minimum(np.searchsorted(self.words, hashes), max(len(self.words) - 1, 0))
-            hashes = np.where(self.words[at] == hashes, at, -1) if len(self.words) else np.full(hashes.shape, -1)
-        self.hash, self.kind = np.concatenate([self.hash, hashes.reshape(-1, 1 + len(_PREFIXES))]), np.concatenate([self.kind, np.array(kind, float).reshape(-1, 4)])
-
-    def read(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text its word features (hashes, or places in ``words``) and its shape bins."""
+        hashes, kind = word_facts(new)
+        if self.weights is not None:
+            hashes = np.where(hashes >= 0, self.weights[hashes], 0).sum(1)
+        self.hash, self.kind = np.concatenate([self.hash, hashes]), np.concatenate([self.kind, kind])
+
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, fact) of each distinct word of each text, and the bins of each text's shares.
+
+        The fact is the word's weight or, without weights, its hashes.
+        """
         split = [t.split() for t in texts]
         flat = [w for ws in split for w in ws]
         new = list(set(flat).difference(self.code))
@@ -74,26 +108,17 @@ class Reader:
         if new:
             self._learn(new)
         code = np.fromiter(map(self.code.__getitem__, flat), np.int64, len(flat))
-        out, a = [], 0
-        for ws in split:
-            own = code[a : a + len(ws)]
-            a += len(ws)
-            n = len(ws) + _SHRINK
-            kinds = self.kind[own].sum(0) / n
-            seen = np.unique(own)
-            shape = np.array([kinds[0], kinds[1], kinds[2], (own[1:] == own[:-1]).sum() / n, (len(seen) + _SHRINK) / n, kinds[3]])
-            bins = np.searchsorted(_BINS, shape, side="left") + np.arange(len(_SHAPES)) * (len(_BINS) + 1)
-            if self.words is None:
-                h = self.hash[seen]
-                words = np.unique(h[h > 0])
-            else:
-                words = np.unique(self.hash[seen])
-                words = words[words >= 0]
-            out.append((words, bins))
-        return out
-
-
-N_BINS = len(_SHAPES) * (len(_BINS) + 1)
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        text = np.repeat(np.arange(len(split)), n)
+        seen = np.unique(text << 32 | code)
+        of, code_seen = seen >> 32, seen & 0xFFFFFFFF
+        again = np.zeros(len(flat))
+        again[1:] = (code[1:] == code[:-1]) & (text[1:] == text[:-1])
+        ends = np.concatenate([[0], np.cumsum(n)])
+        total = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])[ends])
+        shares = [total(self.kind[code, j]) for j in range(3)] + [total(again), np.bincount(of, minlength=len(split)) + _SHRINK]
+        shares = np.stack(shares, 1) / (n + _SHRINK)[:, None]
+        return of, self.hash[code_seen], np.searchsorted(_BINS, np.round(shares, 9), side="left") + np.arange(len(_SHAPES)) * (len(_BINS) + 1)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -102,10 +127,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Ordinal:
-    """Weights of word features, then shape bins; increasing thresholds."""
+    """``WIDTH`` hashed weights and those of the bins; increasing thresholds."""
 
-    words: np.ndarray
     weights: np.ndarray
+    bins: np.ndarray
     thresholds: np.ndarray
 
     def tails(self, score: np.ndarray) -> np.ndarray:
@@ -113,35 +138,50 @@ class Ordinal:
         return 1 - _sigmoid(self.thresholds[None, :] - np.asarray(score)[:, None])
 
 
-def fit_ordinal(active: list[np.ndarray], grade: np.ndarray, n_features: int, scale: np.ndarray | None = None, steps: int = 600, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of greatest penalised likelihood, by Adam on the whole sample.
+def fit_ordinal(active: list[np.ndarray] | tuple[np.ndarray, np.ndarray], grade: np.ndarray, n_features: int, steps: int = 600, rate: float = 0.05, ridge: float = 1e-4, batch: int | None = None, price: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds of greatest penalised likelihood, by Adam.
 
-    ``scale``: a feature's value where it is present, so that the penalty bears less on some.
+    ``active``: the features present in each row, or (all of them, where each row ends). A step takes
+    all rows or ``batch`` of them, in turn; with batches the rate falls to nothing. ``price``
+    of each weight's size sets most weights to zero.
     """
-    scale = np.ones(n_features) if scale is None else scale
     counts = np.bincount(grade, minlength=GRADES) + np.array([0.01] * (GRADES - 1) + [1.0])
     p = np.cumsum(counts)[:-1] / counts.sum()
     first, gaps = np.log(p[0] / (1 - p[0])), np.log(np.maximum(np.diff(np.log(p / (1 - p))), 1e-2))
-    flat = np.concatenate([np.zeros(n_features), [first], gaps])
+    w, th = np.zeros(n_features), np.concatenate([[first], gaps])
+    levels = lambda: th[0] + np.concatenate([[0], np.cumsum(np.exp(th[1:]))])
     if not len(grade) or len(set(grade.tolist())) < 2:
-        return flat[:n_features], np.concatenate([[first], first + np.cumsum(np.exp(gaps))])
-    idx = np.concatenate(active)
-    row = np.repeat(np.arange(len(active)), [len(a) for a in active])
-    m, v, n = np.zeros_like(flat), np.zeros_like(flat), len(grade)
+        return w, levels()
+    if not isinstance(active, tuple):
+        active = (np.concatenate(active), np.cumsum([len(a) for a in active]))
+    idx, ends = active
+    starts = np.concatenate([[0], ends[:-1]])
+    size = len(grade) if batch is None else min(batch, len(grade))
+    m, v, m_th, v_th = np.zeros(n_features), np.zeros(n_features), np.zeros(len(th)), np.zeros(len(th))
+    at = 0
     for t in range(1, steps + 1):
-        w, th = flat[:n_features] * scale, flat[n_features] + np.concatenate([[0], np.cumsum(np.exp(flat[n_features + 1 :]))])
-        s = np.bincount(row, w[idx], minlength=n)
-        edges = np.concatenate([[-np.inf], th, [np.inf]])
-        hi, lo = _sigmoid(edges[grade + 1] - s), _sigmoid(edges[grade] - s)
+        a, b = at, min(at + size, len(grade))
+        at = b % len(grade)
+        g, own, n = grade[a:b], idx[starts[a] : ends[b - 1]], b - a
+        row = np.repeat(np.arange(n), ends[a:b] - starts[a:b])
+        s = np.bincount(row, w[own], minlength=n)
+        edges = np.concatenate([[-np.inf], levels(), [np.inf]])
+        hi, lo = _sigmoid(edges[g + 1] - s), _sigmoid(edges[g] - s)
         prob = np.maximum(hi - lo, 1e-12)
         d_hi, d_lo = hi * (1 - hi) / prob, lo * (1 - lo) / prob
         d_s = (d_hi - d_lo) / n  # of the negative log likelihood
-        d_th = np.array([-(d_hi[grade == k].sum() - d_lo[grade == k + 1].sum()) / n for k in range(GRADES - 1)])
-        grad = np.concatenate([np.bincount(idx, d_s[row], minlength=n_features) * scale + ridge * flat[:n_features], [d_th.sum()], [d_th[k + 1 :].sum() * np.exp(flat[n_features + 1 + k]) for k in range(GRADES - 2)]])
-        m += 0.1 * (grad - m)
-        v += 0.01 * (grad * grad - v)
-        flat = flat - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-    return flat[:n_features] * scale, flat[n_features] + np.concatenate([[0], np.cumsum(np.exp(flat[n_features + 1 :]))])
+        d_level = np.array([-(d_hi[g == k].sum() - d_lo[g == k + 1].sum()) / n for k in range(GRADES - 1)])
+        grad = np.bincount(own, d_s[row], minlength=n_features) + ridge * w
+        grad_th = np.array([d_level.sum()] + [d_level[k + 1 :].sum() * np.exp(th[1 + k]) for k in range(GRADES - 2)])
+        now = rate if batch is None else rate * (1 - (t - 1) / steps)
+        for x, d, m_, v_ in ((w, grad, m, v), (th, grad_th, m_th, v_th)):
+            m_ += 0.1 * (d - m_)
+            v_ += 0.01 * (d * d - v_)
+            scale = now / (np.sqrt(v_ / (1 - 0.99**t)) + 1e-9)
+            x -= scale * m_ / (1 - 0.9**t)
+            if price is not None and x is w:
+                x[:] = np.sign(x) * np.maximum(np.abs(x) - np.minimum(scale, 50.0) * price, 0)
+    return w, levels()
 
 
 def _texts(b: pa.RecordBatch, name: str):
@@ -157,49 +197,75 @@ def _texts(b: pa.RecordBatch, name: str):
         yield first, out
 
 
-def _sampled(batches):
+def _hashed(batches):
+    """Labelled texts as little-endian numbers of their weights: hashes, then ``WIDTH`` and their bins.
+
+    Of an id's texts only those go on whose hash is below those seen before in the task.
+    """
     reader = Reader(None)
+    least: dict = {}  # at most SAMPLE ids
     for b in batches:
-        grade = b.column(b.schema.get_field_index("grade")).to_numpy()
-        for first, texts in _texts(b, "text"):
-            for i, (words, _) in enumerate(reader.read(texts)):
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(np.full(len(words), grade[first + i], np.int32))], names=["word", "grade"])
+        ids, th = b.column("own_id").to_pylist(), b.column("th").to_pylist()
+        rows = []
+        for i, (id_, h) in enumerate(zip(ids, th, strict=True)):
+            if h < least.get(id_, 1 << 63):
+                least[id_] = h
+                rows.append(i)
+        if not rows:
+            continue
+        b, out = b.take(pa.array(rows)), []
+        for _, texts in _texts(b, "text"):
+            of, hashes, bins = reader.read(texts)
+            seen = np.unique((of[:, None] << 32 | hashes)[hashes >= 0])
+            for i, own in enumerate(np.split(seen & 0xFFFFFFFF, np.searchsorted(seen >> 32, np.arange(1, len(texts))))):
+                out.append(np.concatenate([own, WIDTH + bins[i]]).astype("<i4").tobytes())
+        yield pa.RecordBatch.from_arrays([b.column("own_id"), b.column("th"), b.column("grade"), pa.array(out, pa.binary())], names=["own_id", "th", "grade", "active"])
+
+
+def fit_rows(grade: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> Ordinal:
+    """Fits on rows whose weights' numbers stand in ``flat``, up to ``ends`` of each."""
+    df = np.bincount(flat, minlength=WIDTH + N_BINS)
+    known = df >= LEAST_DF
+    known[WIDTH:] = True
+    n = int(known.sum())
+    place = np.where(known, np.cumsum(known) - 1, -1).astype(np.int32)
+    flat = place[flat]
+    keep = flat >= 0
+    ends = np.concatenate([[0], np.cumsum(keep)])[ends]
+    steps = max(STEPS, PASSES * -(-len(grade) // STEP))
+    flat = flat[keep]
+    # most weights go in a first fit; the others, which it pulls towards zero, are fitted again
+    met = np.minimum(df[known] / max(len(grade), 1), 1)
+    price = SPARSE * np.sqrt(met * (1 - met) / max(len(grade), 1))  # what chance alone pulls a weight by, times SPARSE
+    price[n - N_BINS :] = 0
+    w, _ = fit_ordinal((flat, ends), grade, n, steps=steps, ridge=1e-5, batch=STEP, price=price)
+    left = w != 0
+    left[n - N_BINS :] = True
+    place = np.where(left, np.cumsum(left) - 1, -1)[flat]
+    keep = place >= 0
+    ends = np.concatenate([[0], np.cumsum(keep)])[ends]
+    w[left], thresholds = fit_ordinal((place[keep], ends), grade, int(left.sum()), steps=1500)
+    weights = np.zeros(WIDTH + N_BINS)
+    weights[known] = w
+    return Ordinal(weights[:WIDTH].astype(np.float32), weights[WIDTH:], thresholds)
 
 
 def fit(docs: DataFrame, ratings: DataFrame, text: str = "text", id: str = "doc_id") -> Ordinal:
     """Fits on ``ratings(id, grade)``, grades 0 to 2. Null ids and grades are left out; of several
-    ratings of an id the lowest holds. Without ratings of two grades all texts get the same result."""
+    ratings of an id the lowest holds. Of an id's several texts one counts, that of the smallest hash.
+    Without ratings of two grades all texts get the same result."""
     rated = ratings.select(F.col(id).alias("rated_id"), F.col("grade").cast("int").alias("grade")).dropna().filter(F.col("grade").between(0, GRADES - 1))
     rated = rated.groupBy("rated_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("rated_id"), "rated_id").limit(SAMPLE)
-    texts = docs.select(F.col(id).alias("own_id"), F.col(text).alias("text")).join(F.broadcast(rated), F.col("own_id") == F.col("rated_id")).select("text", "grade")
-    n = {r.grade: r["count"] for r in texts.groupBy("grade").count().collect()}
-    total = sum(n.values())
-    seen = texts.mapInArrow(_sampled, "word bigint, grade int").groupBy("word").agg(*[F.count_if(F.col("grade") == g).alias(f"n{g}") for g in range(GRADES)])
-    df = sum(F.col(f"n{g}") for g in range(GRADES))
-    z, odds = F.lit(0.0), F.lit(0.0)
-    for k in range(1, GRADES):  # presence in grades below k against the others
-        low = sum(n.get(g, 0) for g in range(k))
-        if 0 < low < total:
-            p = df / total
-            a, b = sum(F.col(f"n{g}") for g in range(k)), sum(F.col(f"n{g}") for g in range(k, GRADES))
-            gap = a / low - b / (total - low)
-            odds = F.greatest(odds, F.abs(F.log((a + 0.5) / (low + 1) / ((b + 0.5) / (total - low + 1)))))
-            z = F.greatest(z, F.abs(gap) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / low + 1 / (total - low))))
-    best = seen.filter(df >= LEAST_DF).withColumns({"z": z, "odds": odds}).filter(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "word").limit(FEATURES).select("word", "odds").collect()
-    words = np.array([r.word for r in best], np.int64).view(np.uint64)
-    order = np.argsort(words)
-    # a word that says much on its own is penalised less than one that only leans to a side
-    words, scale = words[order], np.concatenate([np.array([r.odds for r in best], float)[order], np.ones(N_BINS)])
-
-    def activate(batches):
-        reader = Reader(words)
-        for b in batches:
-            rows = [np.concatenate([w, len(words) + s]).astype(np.int32) for _, texts in _texts(b, "text") for w, s in reader.read(texts)]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("grade")), pa.array(rows, pa.list_(pa.int32()))], names=["grade", "active"])
-
-    rows = texts.mapInArrow(activate, "grade int, active array<int>").collect()  # at most SAMPLE rows of kept features
-    weights, thresholds = fit_ordinal([np.array(r.active, np.int64) for r in rows], np.array([r.grade for r in rows], np.int64), len(words) + N_BINS, scale)
-    return Ordinal(words, weights, thresholds)
+    texts = docs.select(F.col(id).alias("own_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).join(F.broadcast(rated), F.col("own_id") == F.col("rated_id"))
+    hashed = texts.select("own_id", "th", "grade", "text").mapInArrow(_hashed, f"own_id {docs.schema[id].dataType.simpleString()}, th bigint, grade int, active binary")
+    rows = hashed.groupBy("own_id").agg(F.min_by(F.struct("th", "grade", "active"), "th").alias("r")).select("own_id", "r.*")
+    rows = rows.toArrow()  # at most SAMPLE rows
+    rows = rows.take(pa.array(np.lexsort((rows.column("own_id").to_numpy(), rows.column("th").to_numpy())), pa.int64()))
+    active = rows.column("active").combine_chunks()
+    active = pa.concat_arrays(active.chunks) if isinstance(active, pa.ChunkedArray) and active.num_chunks else active
+    ends = np.cumsum(pc.binary_length(rows.column("active")).to_numpy().astype(np.int64)) // 4
+    flat = np.frombuffer(b"".join(active.to_pylist()), "<i4")
+    return fit_rows(rows.column("grade").to_numpy().astype(np.int64), flat, ends)
 
 
 def score_quality(docs: DataFrame, model: Ordinal, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -216,10 +282,13 @@ def score_quality(docs: DataFrame, model: Ordinal, text: str = "text", keep: lis
 
     def run(batches):
         m = shared.value
-        reader = Reader(m.words)
+        reader = Reader(m.weights)
         for b in batches:
-            scores = [m.weights[w].sum() + m.weights[len(m.words) + s].sum() for _, texts in _texts(b, text) for w, s in reader.read(texts)]
-            tails = m.tails(np.array(scores))
+            scores = [np.zeros(0)]
+            for _, texts in _texts(b, text):
+                of, weight, bins = reader.read(texts)
+                scores.append(np.bincount(of, weight, minlength=len(texts)) + m.bins[bins].sum(1))
+            tails = m.tails(np.concatenate(scores))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(tails.sum(1)), pa.array(tails[:, -1])], names=names)
 
     return docs.mapInArrow(run, ", ".join(kinds))
