@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,21 +113,113 @@ def by_key(df: DataFrame, keys: list[str], then: list[str], fn: Callable, schema
     return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *then).mapInArrow(fn, schema)
 
 
-def blocked(df: DataFrame, key: str, uid: str, cap: int) -> DataFrame:
+#: keys that may be broadcast as hot: those with more than one in HOT_KEYS of all rows
+HOT_KEYS = 1000
+
+
+def join_by_key(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``groups``, one row for each ``key``, of ``size`` rows out of ``total``.
+
+    Keys with more than one in ``HOT_KEYS`` of the rows, so at most ``HOT_KEYS``, are broadcast: their
+    rows stay where they are. The others meet in a shuffle. Both sides are read twice.
+    """
+    hot = F.col(size) > total / HOT_KEYS
+    often = F.broadcast(groups.filter(hot))
+    rest = rows.join(often.select(key), key, "left_anti").join(groups.filter(~hot), key)
+    return rows.join(often, key).unionByName(rest)
+
+
+def blocked(df: DataFrame, key: str, uid: str, cap: int, scratch: Scratch) -> DataFrame:
     """Splits large groups into pairs of blocks, so that all pairs of a group can be compared.
 
-    A key with more than ``cap`` rows becomes blocks of about ``cap`` rows; each row goes to every
-    pair of blocks that holds its own. Adds ``block_a`` <= ``block_b`` and ``block`` (the row's own).
-    Two rows of a key meet in exactly one (key, block_a, block_b). No row is dropped.
+    ``df``: a written table, read several times. Keys of a single row have no pairs and go. A key with
+    more than ``cap`` rows becomes blocks of about ``cap`` rows; each row goes to every pair of blocks
+    that holds its own. Adds ``block_a`` <= ``block_b`` and ``block`` (the row's own). Two rows of a key
+    meet in exactly one (key, block_a, block_b). Hot keys are split where they are, before any shuffle.
     """
-    n, nb, t = "n_rows_of_key", "n_blocks_of_key", "block_other"
-    large = df.groupBy(key).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > cap)
-    large = large.select(F.col(key).alias("large_key"), F.ceil(F.col(n) / cap).cast("int").alias(nb))
-    out = df.join(large, F.col(key) == F.col("large_key"), "left").drop("large_key")
-    out = out.withColumn(nb, F.coalesce(nb, F.lit(1)))
-    out = out.withColumn("block", F.pmod(F.xxhash64(F.col(uid), F.lit(7)), F.col(nb)).cast("long"))
-    out = out.withColumn(t, F.explode(F.sequence(F.lit(0).cast("long"), F.col(nb) - F.lit(1).cast("long"))))
-    return out.withColumns({"block_a": F.least("block", t), "block_b": F.greatest("block", t)}).drop(nb, t)
+    n, t = "n_rows_of_key", "block_other"
+    sizes = scratch.write(df.groupBy(key).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > 1))
+    total = sizes.agg(F.sum(n)).first()[0] or 0
+    out = join_by_key(df, sizes, key, n, total)
+    blocks = F.ceil(F.col(n) / cap).cast("long")
+    out = out.withColumn("block", F.pmod(F.xxhash64(F.col(uid), F.lit(7)), blocks))
+    out = out.withColumn(t, F.explode(F.sequence(F.lit(0).cast("long"), blocks - F.lit(1).cast("long"))))
+    return out.withColumns({"block_a": F.least("block", t), "block_b": F.greatest("block", t)}).drop(n, t)
+
+
+def ranked(df: DataFrame, key: list[str], sub: list[str], order: list[str], more: list[str], scratch: Scratch) -> DataFrame:
+    """Rows with ``first_*`` of the first row that is equal in ``key`` and ``sub``, and ``head_*`` of the first
+    that is equal in ``key``, for all columns of ``order`` and ``more``. All of these are integers without nulls.
+
+    All rows are sorted by range of (key, sub, order), so that a group of any size lies in as many
+    partitions as it fills, and every row is compared with the one before it. What is open at the start
+    of a partition is settled from two rows that each partition says about its ends.
+    """
+    spark = df.sparkSession
+    keys, values, names = [*key, *sub], [*order, *more], df.columns
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    added = [*(f"first_{c}" for c in values), *(f"head_{c}" for c in values)]
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in names] + [f"`{a}` bigint" for a in added] + ["part int", "role int", "open_class boolean", "open_key boolean"])
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        carry: dict = {}  # the row before: keys, first and head values, open flags
+
+        def told(b: pa.RecordBatch, at: int, role: int, first: list, head: list, open_: tuple[bool, bool]) -> pa.RecordBatch:
+            arrays = [*b.slice(at, 1).columns, *(pa.array([int(x)], pa.int64()) for x in (*first, *head)), pa.array([part], pa.int32()), pa.array([role], pa.int32()), pa.array([open_[0]]), pa.array([open_[1]])]
+            return pa.RecordBatch.from_arrays(arrays, names=[*names, *added, "part", "role", "open_class", "open_key"])
+
+        last = None
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            col = {c: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in dict.fromkeys([*keys, *values])}
+            new_key, new_class = np.zeros(n, bool), np.zeros(n, bool)
+            for c in keys:
+                differs = np.concatenate([[bool(carry) and carry["key"][c] != col[c][0]], col[c][1:] != col[c][:-1]])
+                new_class |= differs
+                if c in key:
+                    new_key |= differs
+            out, opens = [], []
+            if not carry:
+                own = [col[c][0] for c in values]
+                carry = {"first": own, "head": own, "open": (True, True)}
+                yield told(b, 0, 1, own, own, (True, True))
+            for change, name, flag in ((new_class, "first", 0), (new_key, "head", 1)):
+                at = np.maximum.accumulate(np.where(change, np.arange(n), -1))
+                before = at < 0
+                out += [np.where(before, x, col[c][np.maximum(at, 0)]) for c, x in zip(values, carry[name], strict=True)]
+                opens.append(before & carry["open"][flag])
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, out), pa.array(np.full(n, part, np.int32)), pa.array(np.zeros(n, np.int32)), *map(pa.array, opens)], names=[*names, *added, "part", "role", "open_class", "open_key"])
+            m = len(values)
+            carry = {"key": {c: col[c][-1] for c in keys}, "first": [x[-1] for x in out[:m]], "head": [x[-1] for x in out[m:]], "open": (bool(opens[0][-1]), bool(opens[1][-1]))}
+            last = b
+        if last is not None:
+            yield told(last, last.num_rows - 1, 2, carry["first"], carry["head"], carry["open"])
+
+    cols = [*keys, *order]
+    found = scratch.write(df.repartitionByRange(*cols).sortWithinPartitions(*cols).mapInArrow(run, schema))
+    ends = found.filter("role > 0").select("part", "role", *keys, *added, "open_class", "open_key").collect()  # two rows for each partition
+    fix, state = [], None
+    for r in sorted(ends, key=lambda r: (r.part, r.role)):
+        if r.role == 1:
+            same_key = state is not None and all(state["key"][c] == r[c] for c in key)
+            same_class = same_key and all(state["key"][c] == r[c] for c in sub)
+            begun = (same_class, same_key, state)
+            fix.append((r.part, same_class, same_key, *(state["first"] + state["head"] if state else [0] * len(added))))
+        else:
+            m = len(values)
+            first, head = [r[a] for a in added[:m]], [r[a] for a in added[m:]]
+            if r.open_class and begun[0]:
+                first = begun[2]["first"]
+            if r.open_key and begun[1]:
+                head = begun[2]["head"]
+            state = {"key": {c: r[c] for c in keys}, "first": first, "head": head}
+    fixed = spark.createDataFrame(fix, "part int, same_class boolean, same_key boolean, " + ", ".join(f"`fix_{a}` bigint" for a in added))
+    out = found.filter("role = 0").join(F.broadcast(fixed), "part")
+    of = lambda a: F.when(F.col("open_class" if a.startswith("first_") else "open_key") & F.col("same_class" if a.startswith("first_") else "same_key"), F.col(f"fix_{a}")).otherwise(F.col(a)).alias(a)
+    return out.select(*[F.col(f"`{c}`") for c in names], *[of(a) for a in added])
 
 
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:

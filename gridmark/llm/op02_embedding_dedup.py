@@ -157,7 +157,7 @@ def candidate_components(vectors: DataFrame, scratch: Scratch, least: float, has
                 yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j)], names=["a", "b"])
 
     rows = vectors.select("uid", "dim", "vec").mapInArrow(hash_, "key bigint, dim bigint, uid bigint, q binary")
-    edges = by_key(blocked(rows, "key", "uid", BLOCK), ["key", "dim", "block_a", "block_b"], [], meet, "a bigint, b bigint")
+    edges = by_key(blocked(scratch.write(rows), "key", "uid", BLOCK, scratch), ["key", "dim", "block_a", "block_b"], [], meet, "a bigint, b bigint")
     return components(vectors.sparkSession, edges, scratch)
 
 
@@ -187,7 +187,7 @@ def exact_links(members: DataFrame, scratch: Scratch, least: float) -> tuple[Dat
                 some = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([uid[s:e][some], i])), pa.array(np.concatenate([np.full(len(some), -1), j])), pa.array(np.concatenate([n[some], np.zeros(len(i), np.int64)]))], names=["a", "b", "n"])
 
-    out = scratch.write(by_key(blocked(members, "root", "uid", BLOCK), ["root", "block_a", "block_b"], [], compare, "a bigint, b bigint, n bigint"))
+    out = scratch.write(by_key(blocked(scratch.write(members), "root", "uid", BLOCK, scratch), ["root", "block_a", "block_b"], [], compare, "a bigint, b bigint, n bigint"))
     return out.filter("b < 0").groupBy(F.col("a").alias("uid")).agg(F.sum("n").alias("n_links")), out.filter("b >= 0").select("a", "b")
 
 

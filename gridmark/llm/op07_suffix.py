@@ -2,21 +2,21 @@
 
 Suffixes are retained only where a passage's own content says so: a window of ``MIN_WORDS`` words
 retains the suffix at the smallest hash among its ``GRAM``-word grams (its minimiser), so that equal
-windows retain the same place, about one word in twenty. Retained suffixes are brought into order by
-their first ``GRAM`` words; neighbours in that order are compared, extended left and right over all
-windows that the place stands for (its neighbourhood), and fall into classes of equal extension.
+windows retain the same place, about one word in twenty. Retained suffixes are sorted by their first
+``GRAM`` words and, among equals, by what extends them left and right over all windows that the place
+stands for (its neighbourhood); every suffix is compared with its neighbour in that order.
 
 * Neighbouring places form runs, cut where their content says so; a run that occurred earlier as a
   whole is done at once, in one row however long it is. Only first runs go on.
-* In a class, every window of every member repeats those of the first member: done at once.
-* Where one gram has several classes, matches may end within the neighbourhood. Only for the first
-  member of each class are the windows looked at one by one, from the text, and equal ones joined.
+* A suffix whose neighbourhood equals its neighbour's repeats all windows of the first of them.
+* Where one gram has several neighbourhoods, matches may end within them. Only for the first member of
+  each are the windows looked at one by one, from the text, and sorted and compared likewise.
 
 The earliest occurrence of a window (by id, then text hash, then place) stays, every later one is a
 repeat; a word goes if any repeated window covers it. That is what a comparison of all windows with
-each other gives. Places are ordered by 64-bit hashes of the words they compare: the words of all
-suffixes in raw order would be more bytes than the input. No group is gathered: classes meet as
-smallest members (combined before the shuffle) and are joined back.
+each other gives. Words are ordered by 64-bit hashes of those that are compared: the words of all
+suffixes in raw order would be more bytes than the input. The sort is by range and its last keys tell
+all rows apart, so that a passage of any frequency spreads over partitions.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name, table
+from .common import Scratch, free_name, ranked, table
 
 MIN_WORDS, GRAM = 50, 10
 #: places that follow each other in a run, on average
@@ -194,24 +194,22 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text: str = "text", id: st
     docs = docs.select(d.alias("d"), th.alias("th"), F.col(text).alias("text"))
     each = "array<struct<gram: bigint, around: bigint, lo: int, hi: int>>"
     found = scratch.write(docs.mapInArrow(_find(least, gram), f"d bigint, th bigint, run bigint, lo int, hi int, places {each}"))
-    order = F.struct("d", "th", "lo")
+    repeats = (F.col("d") != F.col("first_d")) | (F.col("th") != F.col("first_th")) | (F.col("lo") != F.col("first_lo"))
+    said = ["d", "th", "lo", "hi", F.col("first_d").alias("source")]
     # runs of places first: what repeats an earlier run as a whole is done in one row
-    firsts = found.groupBy("run").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first != last").select("run", "first")
-    found = scratch.write(found.join(firsts, "run", "left").select("d", "th", "lo", "hi", "places", F.coalesce(order != F.col("first"), F.lit(False)).alias("repeat"), F.col("first.d").alias("source")))
-    runs = found.filter("repeat").select("d", "th", "lo", "hi", "source")
-    found = found.filter("not repeat").select("d", "th", F.explode("places").alias("p")).select("d", "th", "p.*")
-    classes = scratch.write(found.groupBy("gram", "around").agg(F.min(F.struct("d", "th", "lo", "hi")).alias("first"), F.count(F.lit(1)).alias("n")))
-    several = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("gram")
-    # members after the first of their class
-    firsts = classes.filter("n > 1").select("gram", "around", F.struct("first.d", "first.th", "first.lo").alias("first"))
-    whole = found.join(firsts, ["gram", "around"]).filter(order != F.col("first")).select("d", "th", "lo", "hi", F.col("first.d").alias("source"))
-    # windows of first members, where a gram has several classes
-    part = classes.join(several, "gram").select("first.d", "first.th", "first.lo", "first.hi")
-    part = part.groupBy("d", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    found = scratch.write(ranked(found, ["run"], [], ["d", "th", "lo"], [], scratch).select("d", "th", "lo", "hi", "places", "first_d", repeats.alias("repeat")))
+    runs = found.filter("repeat").select(*said)
+    # then places, neighbours in the order of their grams: equal neighbourhoods repeat those of the first
+    each = found.filter("not repeat").select("d", "th", F.explode("places").alias("p")).select("d", "th", "p.*")
+    order = scratch.write(ranked(each, ["gram"], ["around"], ["d", "th", "lo"], ["hi"], scratch).withColumn("repeat", repeats))
+    whole = order.filter("repeat").select(*said)
+    # windows of first members, where a gram has several neighbourhoods: these, and the first of all
+    other = order.filter(~F.col("repeat") & ((F.col("d") != F.col("head_d")) | (F.col("th") != F.col("head_th")) | (F.col("lo") != F.col("head_lo"))))
+    part = other.select("d", "th", "lo", "hi").union(other.select("head_d", "head_th", "head_lo", "head_hi")).distinct()
+    part = part.groupBy("d", "th").agg(F.collect_list(F.struct(F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"))).alias("runs"))
     part = docs.withColumnsRenamed({"d": "doc_d", "th": "doc_th"}).join(part, (F.col("doc_d") == F.col("d")) & (F.col("doc_th") == F.col("th")))
     windows = scratch.write(part.select("d", "th", "text", "runs").mapInArrow(_windows(least), "d bigint, th bigint, w bigint, lo int"))
-    firsts = windows.groupBy("w").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first != last").select("w", "first")
-    single = windows.join(firsts, "w").filter(order != F.col("first")).select("d", "th", "lo", F.col("lo").alias("hi"), F.col("first.d").alias("source"))
+    single = ranked(windows.withColumn("hi", F.col("lo")), ["w"], [], ["d", "th", "lo"], [], scratch).filter(repeats).select(*said)
     runs = runs.union(whole).union(single).groupBy("d", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"), F.sort_array(F.collect_set(F.nullif("source", F.lit(2**63 - 1)))).alias("sources"))
     return runs.mapInArrow(_merged(least), "d bigint, th bigint, sources array<bigint>, spans array<struct<start: int, end: int>>")
 
