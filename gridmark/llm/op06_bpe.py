@@ -4,7 +4,8 @@ A rolling hash over the UTF-8 bytes cuts every text where its content says so, s
 common passages have common chunks. A task encodes each distinct chunk once and keeps it in a
 bounded cache under its bytes (no hash can confuse two chunks). Where two chunks meet, the words
 around the cut are encoded again together with one more word on either side; these witnesses must
-come out with the ids that they had in their chunks, else both chunks are encoded again as one.
+come out with the ids that they had in their chunks, else both chunks are encoded again as one, and so
+on until all agree.
 
 Chunks are shared within a task, not over the cluster: sending every chunk to one place and its ids
 back would move more bytes than the input has, to save work on the shared part only. The operator
@@ -70,6 +71,10 @@ class Chunk:
             if rest:
                 self.middle, self.last = _last(rest[0])
 
+    def outer(self) -> tuple[bytes, bytes]:
+        """The last whole word and its ids; they may be empty."""
+        return (self.last, self.ids[2]) if self.last else (self.first, self.ids[0])
+
 
 def _last(body: bytes) -> tuple[bytes, bytes]:
     parts = body.rsplit(None, 1)
@@ -92,9 +97,9 @@ class ChunkEncoder:
             self.size = 0
         new, todo, plans = [], [], []
         for pieces in texts:
-            # a plan: chunks, and between them the seam with its witnesses
-            plan, seam, before = [], b"", None
-            for piece in pieces:
+            # a plan: chunks, and between them the seams: chunk before, text, chunk after, pieces from and to
+            plan, seam, before, start = [], b"", None, 0
+            for i, piece in enumerate(pieces):
                 c = self.known.get(piece)
                 if c is None:
                     c = self.known[piece] = Chunk(piece)
@@ -104,10 +109,10 @@ class ChunkEncoder:
                     self.reused += 1
                 seam += c.head
                 if not c.open:
-                    plan += [(before, seam, c), c]
-                    before, seam = c, c.tail
-            plan.append((before, seam, None))
-            todo += [b" ".join([x[0].last or x[0].first if x[0] else b"", x[1], x[2].first if x[2] else b""]) for x in plan if isinstance(x, tuple) and x[1]]
+                    plan += [(before, seam, c, start, i), c]
+                    before, seam, start = c, c.tail, i
+            plan.append((before, seam, None, start, max(len(pieces) - 1, 0)))
+            todo += [b" ".join([x[0].outer()[0] if x[0] else b"", x[1], x[2].first if x[2] else b""]) for x in plan if isinstance(x, tuple) and x[1]]
             plans.append(plan)
         self.made += len(new)
         ids = self.enc.encode([*todo, *(x for c in new for x in (c.first, c.middle, c.last))])
@@ -119,20 +124,32 @@ class ChunkEncoder:
         return [self._joined(plan, pieces, seams) for plan, pieces in zip(plans, texts, strict=True)]
 
     def _joined(self, plan: list, pieces: list[bytes], seams: Iterator[bytes]) -> bytes:
-        out, agree = [], True
+        out, wrong = [], []
         for x in plan:
             if isinstance(x, Chunk):
                 out += x.ids
             elif x[1]:
                 got = next(seams)
-                left = (x[0].ids[2] or x[0].ids[0]) if x[0] else b""
+                left = x[0].outer()[1] if x[0] else b""
                 right = x[2].ids[0] if x[2] else b""
                 # the witnesses must have the ids that they have in their chunks
-                agree &= got.startswith(left) and got.endswith(right) and len(got) >= len(left) + len(right)
+                if not (got.startswith(left) and got.endswith(right) and len(got) >= len(left) + len(right)):
+                    wrong.append(x[3:])
                 out.append(got[len(left) : len(got) - len(right)])
-        if agree:
+        if not wrong:
             return b"".join(out)
+        # chunks on both sides of a seam that does not agree become one, until all seams agree
         self.widened += 1
+        wider, at = [], 0
+        for a, b in wrong:
+            if a < at:  # goes on from the one before
+                wider[-1] += b"".join(pieces[at : b + 1])
+            else:
+                wider += [*pieces[at:a], b"".join(pieces[a : b + 1])]
+            at = b + 1
+        wider += pieces[at:]
+        if len(wider) < len(pieces):
+            return self.encode([wider])[0]
         return self.enc.encode([b"".join(pieces)])[0]
 
     def texts(self, column: pa.Array) -> Iterator[bytes]:
@@ -143,7 +160,7 @@ class ChunkEncoder:
             if not self.enc.by_word:
                 yield self.enc.encode([text])[0]
                 continue
-            at = cuts(np.frombuffer(text, dtype=np.uint8), self.bits).tolist() if len(text) > 256 else []
+            at = cuts(np.frombuffer(text, dtype=np.uint8), self.bits).tolist()
             todo.append([text[a:b] for a, b in zip([0, *at], [*at, len(text)], strict=True)] if text else [])
             size += len(text)
             if size > 1_500_000:

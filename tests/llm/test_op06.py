@@ -84,3 +84,48 @@ def test_many_words_equal_library():
     enc = WordEncoder(default_path())
     text = " ".join(words)
     assert np.frombuffer(enc.encode([text.encode()])[0], "<u4").tolist() == library([text])[0][0]
+
+
+def test_words_without_ids_at_seams():
+    """Lone Unicode spaces are words without ids: alone, in a row, at the ends, at every cut."""
+    fixed = ["On dit oui   dit", "x the 　 the", "he said so   said", " ", "    a", "a   　 a a", "a b   b"]
+    rng = np.random.default_rng(4)
+    words = ["the", "dit", "so", " ", " ", "　", "\u0085", " ", "été", "12"]
+    texts = fixed + [" ".join(rng.choice(words, int(rng.integers(1, 14)))) for _ in range(300)]
+    want = library(texts)[0]
+    chunks = ChunkEncoder(WordEncoder(default_path()), bits=3)
+    for text, ids in zip(texts, want, strict=True):
+        data = text.encode()
+        for cut in ([], *([a] for a in range(1, len(data)) if data[a] & 0xC0 != 0x80)):
+            pieces = [data[a:b] for a, b in zip([0, *cut], [*cut, len(data)], strict=True)]
+            assert np.frombuffer(chunks.encode([pieces])[0], "<u4").tolist() == ids, (text, cut)
+
+
+class OfTheWordBefore:
+    """Ids that depend on the word before, so that seams disagree."""
+
+    by_word = True
+
+    def __init__(self, depends):
+        self.depends = depends
+
+    def encode(self, texts):
+        out = []
+        for t in texts:
+            w = t.split()
+            out.append(b"".join((hash((x, w[i - 1] if i and self.depends else b"")) & 0xFFFFFFFF).to_bytes(4, "little") for i, x in enumerate(w)))
+        return out
+
+
+def test_joins_widen_until_they_agree():
+    rng = np.random.default_rng(5)
+    for depends in (False, True):
+        enc = OfTheWordBefore(depends)
+        chunks = ChunkEncoder(enc)
+        for _ in range(200):
+            data = " ".join(rng.choice(["aaa", "bb", "cccc"], int(rng.integers(1, 40)))).encode()
+            inside = [i for i in range(1, len(data)) if data[i - 1] != 32 and data[i] != 32]
+            at = sorted({inside[int(x)] for x in rng.integers(0, len(inside), 6)})
+            pieces = [data[a:b] for a, b in zip([0, *at], [*at, len(data)], strict=True)]
+            assert chunks.encode([pieces])[0] == enc.encode([data])[0]
+        assert (chunks.widened > 0) == depends
