@@ -45,7 +45,7 @@ def cuts(data: np.ndarray, bits: int = 10) -> np.ndarray:
 
 
 class Chunk:
-    """A chunk and the ids of its whole words; ``open``: no white space, so it is part of one word.
+    """A chunk and the ids of its whole words; ``open``: it has none, and is part of a seam.
 
     ``head`` and ``tail`` are what stands before the first and after the last white space: words
     that may go on in the neighbouring chunks. ``first`` and ``last`` are the outermost whole words,
@@ -57,16 +57,17 @@ class Chunk:
     def __init__(self, text: bytes):
         space = _SPACE.search(text)
         self.open = space is None
-        self.head = text if self.open else text[: space.start()]
-        self.first = self.middle = self.last = self.tail = b""
+        self.head, self.first, self.middle, self.last, self.tail = text, b"", b"", b"", b""
         self.ids = (b"", b"", b"")
         if self.open:
             return
-        body = text[space.start() :]
+        body, tail = text[space.start() :], b""
         if body[-1] not in b" \t\n\x0b\x0c\r":
-            body, self.tail = _last(body)
+            body, tail = _last(body)
         body = body.strip()
+        self.open = not body
         if body:
+            self.head, self.tail = text[: space.start()], tail
             self.first, *rest = body.split(None, 1)
             if rest:
                 self.middle, self.last = _last(rest[0])
