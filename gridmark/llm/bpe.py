@@ -38,7 +38,7 @@ def default_path() -> str:
 class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers, equal to the library's."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = _PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -69,7 +69,7 @@ class WordEncoder:
         self.easy = re.compile(f"\x00|{split[: max(last, 0)]}|[{_LETTERS}]+|[{_DIGITS}]|[^\x00{_SPACE}{_LETTERS}{_DIGITS}]+") if self.by_word else None
         self.plain_decode = spec.get("decoder") is None
         self.names = [self.tok.id_to_token(i) or "" for i in range(max(self.tok.get_vocab().values()) + 1)] if self.plain_decode else []
-        self.most = _PIECES
+        self.most = most
         self.pieces: dict[str, bytes] = {}
         self.old_pieces: dict[str, bytes] = {}
 
@@ -130,6 +130,6 @@ class WordEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each file in a Python worker."""
-    return WordEncoder(path)
+def encoder(path: str, most: int = _PIECES) -> WordEncoder:
+    """One encoder for each file and size of its cache in a Python worker."""
+    return WordEncoder(path, most)

@@ -2,11 +2,12 @@
 
 Documents become token pieces of at most ``capacity``; pieces are dealt evenly over partitions of a
 bounded number of pieces and every partition packs its own by best-fit decreasing. A lower bound
-from dual-feasible functions certifies the partition's bin count. Partitions with a gap give up all
-bins that are not full, certified ones only their emptiest bin; the pieces given up are dealt anew
-over an eighth as many partitions and packed again, until one partition holds them all. A packing
-that is not better than the one its pieces came with is not used, so no round adds a sequence.
-Only lengths move in these rounds, never texts or ids.
+from dual-feasible functions certifies the partition's bin count. Partitions with a gap give up their
+emptiest bins, up to a bounded number of pieces, certified ones only their emptiest bin; the pieces
+given up are dealt anew over an eighth as many partitions and packed again, until there is one
+partition: as many rounds as the number of partitions has digits to the base of eight. A packing that
+is not better than the one its pieces came with is not used, so no round adds a sequence. Only lengths
+move in these rounds, never texts or ids.
 """
 
 from __future__ import annotations
@@ -73,8 +74,9 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return bins, offsets
 
 
-def pack_group(sizes: np.ndarray, capacity: int, seq: np.ndarray, off: np.ndarray, base: int, last: bool):
-    """One partition's round: sequence and offset of each piece, and which pieces it gives up."""
+def pack_group(sizes: np.ndarray, capacity: int, seq: np.ndarray, off: np.ndarray, base: int, last: bool, most: int | None = None):
+    """One partition's round: sequence and offset of each piece, which it gives up (``most``, if there is a
+    gap), and whether its number of sequences is certified."""
     bins, offsets = best_fit_decreasing(sizes, capacity)
     n_bins = int(bins.max()) + 1 if len(bins) else 0
     before = np.unique(seq[seq >= 0])
@@ -87,10 +89,12 @@ def pack_group(sizes: np.ndarray, capacity: int, seq: np.ndarray, off: np.ndarra
     certified = n_bins == lower_bound(sizes, capacity)
     loose = np.zeros(n_bins, bool)
     if not last and n_bins:
-        if certified:
-            loose[int(fill.argmin())] = fill.min() < capacity
-        else:
-            loose = fill < capacity
+        order = np.argsort(fill, kind="stable")
+        n = 1
+        if not certified:
+            held = np.cumsum(np.bincount(bins, minlength=n_bins)[order])
+            n = n_bins if most is None else max(1, int(np.searchsorted(held, most, side="right")))
+        loose[order[:n]] = fill[order[:n]] < capacity
     return ids[bins], offsets, loose[bins], certified
 
 
@@ -102,8 +106,7 @@ def _pieces(docs: DataFrame, text: str, path: str, capacity: int, end_id: int, w
     new = ["piece", "start", "length", "ids_crc32", "pid"] + ["ids"] * with_ids
 
     def run(batches):
-        enc, n = encoder(path), 0
-        enc.most = PIECES
+        enc, n = encoder(path, PIECES), 0
         base = TaskContext.get().partitionId() << 36
         for b in batches:
             texts = b.column(b.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
@@ -135,22 +138,21 @@ def best_fit_pack(docs: DataFrame, text: str = "text", path: str | None = None,
 
     A document is its ids and ``end_id``; only longer ones are cut, at multiples of ``capacity``.
     Returns for each piece the columns of ``docs`` but the text (those named like a new column get an
-    underscore), ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset`` and, with
-    ``with_ids``, ``ids``. Null and empty texts are the end id alone. Repeated rows are packed each on
+    underscore), ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``, ``certified``
+    (the partition that packed the sequence met its lower bound) and, with ``with_ids``, ``ids``. Null and empty texts are the end id alone. Repeated rows are packed each on
     their own. An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    for c in ("piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids", "pid", "deal", "seq", "off", "loose"):
+    for c in ("piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified", "ids", "pid", "deal", "seq", "off", "loose"):
         for own in [x for x in docs.columns if x.lower() == c and x != text]:
             docs = docs.withColumnRenamed(own, free_name(docs, own + "_"))
     pieces = scratch.write(_pieces(docs, text, path or default_path(), capacity, end_id, with_ids))
     full = F.col("length") == capacity
     lengths = pieces.select("pid", "length")
-    done = lengths.filter(full).select("pid", (F.col("pid") + F.lit(1 << 62)).alias("seq"), F.lit(0).cast("long").alias("off"))
+    done = lengths.filter(full).select("pid", (F.col("pid") + F.lit(1 << 62)).alias("seq"), F.lit(0).cast("long").alias("off"), F.lit(True).alias("certified"))
     pool = lengths.filter(~full).select("pid", "length", F.lit(-1).cast("long").alias("seq"), F.lit(0).cast("long").alias("off"))
-    parts = max(1, -(-pool.count() // deal))
-    step = 0
+    parts, step = max(1, -(-pool.count() // deal)), 0
     while True:
         last, base = parts == 1, step << 54
         dealt = pool.withColumn("deal", F.pmod(F.xxhash64("seq", F.when(F.col("seq") < 0, F.col("pid")), F.lit(step)), F.lit(parts)))
@@ -160,19 +162,20 @@ def best_fit_pack(docs: DataFrame, text: str = "text", path: str | None = None,
                 pid, size, seq, off, own = (t.column(c).to_numpy() for c in ("pid", "length", "seq", "off", "deal"))
                 for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                     g = slice(a, b)
-                    new_seq, new_off, loose, _ = pack_group(size[g], capacity, seq[g], off[g], base + (int(own[a]) << 30), last)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pid[g], size[g], new_seq, new_off, loose)], names=["pid", "length", "seq", "off", "loose"])
+                    new_seq, new_off, loose, certified = pack_group(size[g], capacity, seq[g], off[g], base + (int(own[a]) << 30), last, max(1, deal // SHRINK))
+                    out = (pid[g], size[g], new_seq, new_off, loose, np.full(b - a, certified))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["pid", "length", "seq", "off", "loose", "certified"])
 
-        out = scratch.write(by_key(dealt, ["deal"], ["pid"], run, "pid bigint, length bigint, seq bigint, off bigint, loose boolean"))
-        done = done.union(out.filter(~F.col("loose")).select("pid", "seq", "off"))
+        out = scratch.write(by_key(dealt, ["deal"], ["pid"], run, "pid bigint, length bigint, seq bigint, off bigint, loose boolean, certified boolean"))
+        done = done.union(out.filter(~F.col("loose")).select("pid", "seq", "off", "certified"))
         if last:
             break
-        pool = out.filter("loose").drop("loose")
-        parts, step = max(-(-parts // SHRINK), -(-pool.count() // (4 * deal)) if parts > SHRINK else 1), step + 1
+        pool = out.filter("loose").drop("loose", "certified")
+        parts, step = -(-parts // SHRINK), step + 1
     placed = pieces.join(done.withColumnRenamed("pid", "placed_pid"), F.col("pid") == F.col("placed_pid"))
     ids = [F.expr("transform(sequence(0, length - 1), i -> cast(conv(hex(reverse(substring(ids, cast(4 * i + 1 as int), 4))), 16, 10) as int)) as ids")] if with_ids else []
     own = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    return placed.select(*own, "piece", "start", "length", "ids_crc32", F.col("seq").alias("sequence_id"), F.col("off").alias("offset"), *ids)
+    return placed.select(*own, "piece", "start", "length", "ids_crc32", F.col("seq").alias("sequence_id"), F.col("off").alias("offset"), "certified", *ids)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,3 +92,37 @@ def test_frame(spark):
     assert best_fit_pack(df.limit(0)).count() == 0
     same = spark.createDataFrame([(None, "twice over")] * 5, "doc_id long, text string")
     assert best_fit_pack(same).count() == 5
+
+
+def test_rounds_end_on_middling_lengths():
+    """Lengths of 400 to 700 cannot be certified; each round still deals over an eighth of the partitions."""
+    rng = np.random.default_rng(6)
+    deal, cap, shrink = 200, 2048, 8
+    pool = rng.integers(400, 701, 20_000)
+    seq, off = np.full(len(pool), -1), np.zeros(len(pool), np.int64)
+    parts, rounds, seqs = 100, 0, 0
+    while True:
+        own = rng.permutation(len(pool)) % parts if rounds == 0 else seq % parts
+        assert np.bincount(own).max() <= 2 * deal + cap
+        left = []
+        for p in range(parts):
+            at = np.flatnonzero(own == p)
+            s, o, loose, _ = pack_group(pool[at], cap, seq[at], off[at], (rounds << 40) + (p << 20), parts == 1, deal // shrink)
+            assert loose.sum() <= deal // shrink or parts == 1
+            seqs += len(set(s[~loose].tolist()))
+            left.append((pool[at][loose], s[loose], o[loose]))
+        rounds += 1
+        if parts == 1:
+            break
+        pool, seq, off = (np.concatenate(x) for x in zip(*left, strict=True))
+        parts = -(-parts // shrink)
+    assert rounds == 4 and seqs <= 20_000 / 3 * 1.02
+
+
+def test_certified_sequences(spark):
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, "a " * int(n)) for i, n in enumerate(rng.integers(400, 700, 900))], "doc_id long, text string").repartition(3)
+    out = best_fit_pack(df, deal=30).collect()
+    assert len(out) == 900 and len({r.sequence_id for r in out}) <= 900 / 3 * 1.05
+    exact = best_fit_pack(spark.createDataFrame([(i, "a " * 1023) for i in range(8)], "doc_id long, text string")).collect()
+    assert all(r.certified for r in exact) and len({r.sequence_id for r in exact}) == 4
