@@ -8,15 +8,14 @@ dimension, so a filter on any of them prunes most shards (or files within a shar
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, free_name, table
 
 SHARDS, BITS = 40, 4
 
@@ -50,66 +49,97 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """A dimension as a double in its own order: numbers as they are, texts by their first six bytes."""
-    c = F.col(f"`{name}`")
-    if df.schema[name].dataType.typeName() in ("string", "binary"):
-        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return c.cast("double")
+def _counted(df: DataFrame, order: list[str], size: str, names: tuple[str, str, str], scratch: Scratch) -> tuple[DataFrame, list]:
+    """``df`` sorted by range of ``order``, with its partition, row and sum of ``size`` before it in the partition
+    under ``names``, written; and (partition, rows, sum) of every partition."""
+    part, row, before = names
+    columns = [*df.columns, *names]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{part}` int, `{row}` bigint, `{before}` bigint"
+
+    def count(batches):
+        own, rows, total = TaskContext.get().partitionId(), 0, 0
+        for b in batches:
+            s = b.column(b.schema.get_field_index(size)).to_numpy()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(s), own, np.int32)), pa.array(rows + np.arange(len(s))), pa.array(total + np.cumsum(s) - s)], names=columns)
+            rows, total = rows + len(s), total + int(s.sum())
+
+    out = scratch.write(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(count, kinds))
+    return out, sorted(out.groupBy(part).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).collect())
+
+
+def text_cuts(df: DataFrame, name: str, levels: int, scratch: Scratch) -> list:
+    """At most ``levels`` - 1 values of a text column that part its rows evenly, by whole texts: a row's level
+    is how many of them it is greater than."""
+    spark, n = df.sparkSession, "rows_of_value"
+    values = df.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias(n))
+    ordered, parts = _counted(values, ["value"], n, ("part_", "row_", "before_"), scratch)
+    before = np.cumsum([0, *(r.b for r in parts)]).tolist()
+    if not before[-1]:
+        return []
+    starts = spark.createDataFrame([(r.part_, before[i]) for i, r in enumerate(parts)], "part_ int, rows_before long")
+    end = F.col("rows_before") + F.col("before_") + F.col(n)
+    level = F.floor(end * levels / F.lit(before[-1]))
+    ends = ordered.join(F.broadcast(starts), "part_").groupBy(level.alias("level")).agg(F.min("value").alias("value"))
+    return sorted({r.value for r in ends.collect() if 0 < r.level < levels})  # a row for each level
 
 
 def hilbert_shards(df: DataFrame, dims: list[str], size: Column, shards: int = SHARDS, bits: int = BITS, ties: list[str] | None = None) -> DataFrame:
     """``df`` with ``size_bytes``, ``hilbert``, ``shard`` (0 to ``shards`` - 1) and ``slot``.
 
     Shards are runs of the order (place on the curve, ``ties``, row) whose bytes are equal to within
-    the largest row; slots count from 0 in that order. Nulls in a dimension come first; a null size
-    counts as zero. Repeated rows and ties are told apart by a row number, so that no value, however
-    frequent, stays in one task. Columns named like an added one are replaced. Empty in, empty out.
+    the largest row; slots count from 0 in that order. A dimension has 2 ** ``bits`` levels of about as
+    many rows; texts are compared whole. Nulls in a dimension come first; a null size counts as zero.
+    Repeated rows and ties are told apart by a row number, so that no value, however frequent, stays in
+    one task. Columns named like one of these four are replaced, all others stay. Empty in, empty out.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession)
-    own = [c for c in df.columns if c.lower() not in ("size_bytes", "hilbert", "shard", "slot", "cell", "part", "row", "before", "uid")]
-    base = scratch.write(df.select(*[F.col(f"`{c}`") for c in own], F.coalesce(size, F.lit(0)).cast("long").alias("size_bytes"), *[_number(df, d).alias(f"dim_{i}_") for i, d in enumerate(dims)], F.monotonically_increasing_id().alias("uid")))
+    added = ("size_bytes", "hilbert", "shard", "slot")
+    own = [c for c in df.columns if c.lower() not in added]
+    names = {c: c for c in added}
+    for c in ("uid", "part", "row", "before", "rows_before", "bytes_before", "first_row", *(f"dim_{i}" for i in range(len(dims)))):
+        names[c] = free_name(df, c)
+    at = [names[f"dim_{i}"] for i in range(len(dims))]
+    kinds = [df.schema[d].dataType.typeName() for d in dims]
+    as_dim = lambda d, k: F.col(f"`{d}`").cast("string") if k in ("string", "binary") else F.col(f"`{d}`").cast("double")
+    base = scratch.write(df.select(*[F.col(f"`{c}`") for c in own], F.coalesce(size, F.lit(0)).cast("long").alias(names["size_bytes"]), *[as_dim(d, k).alias(n) for d, k, n in zip(dims, kinds, at, strict=True)], F.monotonically_increasing_id().alias(names["uid"])))
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
-    at = base.agg(*[F.percentile_approx(f"dim_{i}_", steps, 10_000).alias(f"p{i}") for i in range(len(dims))]).first()
-    cell = F.lit(0)
-    for i in range(len(dims)):
+    texts = [k in ("string", "binary") for k in kinds]
+    numbers = [F.percentile_approx(n, steps, 10_000).alias(n) for n, t in zip(at, texts, strict=True) if not t]
+    found = base.agg(*numbers).first() if numbers else None
+    levels = []
+    for n, t in zip(at, texts, strict=True):
         level = F.lit(0)
-        for v in sorted(set(at[i] or [])):
-            level = level + F.when(F.col(f"dim_{i}_") > v, 1).otherwise(0)
-        cell = cell * (1 << bits) + level
-    cells = np.array(list(itertools.product(range(1 << bits), repeat=len(dims))))
-    curve = spark.createDataFrame(list(enumerate(hilbert_index(cells, bits).tolist())), "cell int, hilbert long")
-    placed = base.withColumn("cell", cell.cast("int")).join(F.broadcast(curve), "cell").drop("cell", *[f"dim_{i}_" for i in range(len(dims))])
-    order = ["hilbert", *(ties or []), "uid"]
-    names = [*placed.columns, "part", "row", "before"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema) + ", part int, row bigint, before bigint"
-
-    def count(batches):
-        part, rows, total = TaskContext.get().partitionId(), 0, 0
-        for b in batches:
-            s = b.column(b.schema.get_field_index("size_bytes")).to_numpy()
-            before = total + np.cumsum(s) - s
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(s), part, np.int32)), pa.array(rows + np.arange(len(s))), pa.array(before)], names=names)
-            rows, total = rows + len(s), total + int(s.sum())
-
-    ordered = scratch.write(placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(count, kinds))
+        for v in text_cuts(base, n, 1 << bits, scratch) if t else sorted(set(found[n] or [])):
+            level = level + F.when(F.col(n) > v, 1).otherwise(0)
+        levels.append(level)
+
+    @F.pandas_udf("long")
+    def place(*cells: pd.Series) -> pd.Series:
+        return pd.Series(hilbert_index(np.stack([c.to_numpy() for c in cells], 1), bits))
+
+    curve = place(*levels) if levels else F.lit(0).cast("long")
+    placed = base.withColumn(names["hilbert"], curve).drop(*at)
+    order = [names["hilbert"], *(ties or []), names["uid"]]
+    ordered, parts = _counted(placed, order, names["size_bytes"], (names["part"], names["row"], names["before"]), scratch)
     scratch.drop(base)
     # one row for each partition of the sort, and one for each shard
-    parts = sorted(ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("b")).collect())
     n, b = (np.concatenate([[0], np.cumsum([r[k] for r in parts])]).astype(int).tolist() for k in (1, 2))
-    starts = spark.createDataFrame([(r.part, n[i], b[i]) for i, r in enumerate(parts)], "part int, rows_before long, bytes_before long")
+    starts = spark.createDataFrame([(r[0], n[i], b[i]) for i, r in enumerate(parts)], f"`{names['part']}` int, `{names['rows_before']}` long, `{names['bytes_before']}` long")
     total = max(1, b[-1])
-    middle = (F.col("bytes_before") + F.col("before")) * 2 + F.col("size_bytes")
+    middle = (F.col(names["bytes_before"]) + F.col(names["before"])) * 2 + F.col(names["size_bytes"])
     shard = F.least(F.lit(shards - 1), F.floor(middle.cast("decimal(38,0)") * shards / (2 * total))).cast("int")
-    out = ordered.join(F.broadcast(starts), "part").withColumn("row", F.col("rows_before") + F.col("row")).withColumn("shard", shard)
-    first = out.groupBy("shard").agg(F.min("row").alias("first_row"))
+    out = ordered.join(F.broadcast(starts), names["part"]).withColumn(names["row"], F.col(names["rows_before"]) + F.col(names["row"])).withColumn(names["shard"], shard)
+    first = out.groupBy(names["shard"]).agg(F.min(names["row"]).alias(names["first_row"]))
     first = spark.createDataFrame(first.collect(), first.schema)  # at most a row for each shard
-    out = out.join(F.broadcast(first), "shard")
-    return out.select(*[F.col(f"`{c}`") for c in own], "size_bytes", "hilbert", "shard", (F.col("row") - F.col("first_row")).alias("slot"))
+    out = out.join(F.broadcast(first), names["shard"])
+    return out.select(*[F.col(f"`{c}`") for c in own], names["size_bytes"], names["hilbert"], names["shard"], (F.col(names["row"]) - F.col(names["first_row"])).alias(names["slot"]))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``documents`` in 40 shards of near equal bytes, along a curve through source, lang and length."""
+    """All ``documents`` in 40 shards of near equal bytes, along a curve through source, lang and length.
+
+    Null texts have no bytes and the checksum of the empty text.
+    """
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", "source", "lang", "n_chars", F.crc32(text.cast("binary")).alias("text_crc32"), F.octet_length(text).alias("n_bytes"))

@@ -45,3 +45,35 @@ def test_empty_and_one_row(spark):
     assert hilbert_shards(df.limit(0), ["source", "n"], F.col("n")).count() == 0
     (r,) = hilbert_shards(df, ["source", "n"], F.col("n")).collect()
     assert r.slot == 0 and r.size_bytes == 0
+
+
+def test_texts_are_compared_whole(spark):
+    """Sources that differ after a long common beginning still get places of their own on the curve."""
+    rows = [(i, f"https://host/{chr(97 + i % 26)}", i % 7, 1, 2, 3, 4, 5) for i in range(5200)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n int, part int, row int, before int, cell int, UID int").repartition(3)
+    out = hilbert_shards(df, ["source"], F.lit(1), shards=16).collect()
+    assert (out[0].part, out[0].row, out[0].before, out[0].cell, out[0].UID) == (1, 2, 3, 4, 5)
+    shards = defaultdict(set)
+    for r in out:
+        shards[r.source].add(r.shard)
+    assert len({r.hilbert for r in out}) >= 13 and max(map(len, shards.values())) <= 3
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    import zlib
+
+    from gridmark.llm.op08_sharding import op8_sharding
+
+    rng = np.random.default_rng(8)
+    texts = ["", None, "é" * 50, "x" * 300_000, *("word " * int(n) for n in rng.integers(0, 400, 900))]
+    rows = [(i if i % 40 else 7, t, ["en", "de", None][i % 3], f"src{i % 5}" if i % 9 else None, len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = op8_sharding(spark, str(tmp_path)).collect()
+    want = sorted((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+    assert sorted((r.doc_id, r["size"], r.text_crc32) for r in out) == want
+    assert {(r.law, r.grown_shard) for r in out} == {("bytes", None)}
+    total = sum(r["size"] for r in out)
+    for s in range(40):
+        own = [r for r in out if r.shard == s]
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        assert abs(sum(r["size"] for r in own) - total / 40) <= max(r["size"] for r in out)
