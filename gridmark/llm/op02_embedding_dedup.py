@@ -1,19 +1,23 @@
 """Near-duplicate vectors by cross-polytope hashing.
 
-A vector is turned by three rounds of random signs and a fast Hadamard transform and hashed to the
-signed axis nearest to it; a bucket is the combination of two or three such hashes. Each vector also
-goes to the buckets of its next-nearest axes (all rank combinations of sum at most two), in several
-tables, so that a pair at the least cosine meets in some bucket all but surely. Bucket rows carry the
-vector in 8-bit components; pairs whose rounded cosine is within ``MARGIN`` become candidates, of
-which a task gives a spanning forest only.
+Equal vectors are one class from the start, with their number. A class's vector is turned by three
+rounds of random signs and a fast Hadamard transform and hashed to the signed axis nearest to it; a
+bucket is the combination of several such hashes. Each vector also goes to the buckets of its
+next-nearest axes (all rank combinations of sum at most two), in several tables. Hashes to a bucket
+follow from the number of vectors, so that buckets stay small; the number of tables follows from the
+odds that a pair at the least cosine meets in one (measured on random pairs of that length), so that at
+every size and length all tables miss it with odds of ``MISS`` at most. Bucket rows carry the vector in
+8-bit components; pairs whose rounded cosine is within ``MARGIN`` become candidates, of which a task
+gives a spanning forest only.
 
 Candidate components are then compared exactly, in double precision on the original vectors, all
-pairs of a component in bounded blocks. That gives every link within a component, each vector's
-number of links, and the components of the true links.
+pairs of a component's classes in bounded blocks. That gives every link within a component, each
+vector's number of links, and the components of the true links.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -21,17 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocked, by_key, components, groups_of, table
+from .common import Scratch, blocked, by_key, components, groups_of, join_by_key, table
 from .op10_simhash import _ranges, forest
 from .vectors import matrix, numbered, unit
 
 LEAST, MARGIN = 0.9, 0.03
 #: rows that are compared with each other at once
 BLOCK = 2048
-#: vectors up to which two hashes to a bucket are selective enough
-TWO_HASHES = 2_000_000
-#: tables by hashes to a bucket: with three, enough that a pair is missed by all no more often than with two
-TABLES = {2: 5, 3: 12}
+#: odds that no table brings a pair at the least cosine together; rows of a bucket that random vectors fill
+MISS, BUCKET = 1e-4, 128
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -71,6 +73,29 @@ def bucket_keys(x: np.ndarray, hashes: int, tables: int) -> np.ndarray:
     return np.stack(out, 1)
 
 
+def meeting_odds(dim: int, hashes: int, least: float, pairs: int = 600) -> float:
+    """Share of random pairs of cosine ``least`` that meet in one table, less two deviations."""
+    rng = np.random.default_rng(dim * 8 + hashes)
+    x = unit(rng.normal(size=(pairs, dim)))
+    z = rng.normal(size=(pairs, dim))
+    z -= (x * z).sum(1)[:, None] * x
+    z /= np.maximum(np.sqrt((z * z).sum(1)), 1e-300)[:, None]
+    y = least * x + np.sqrt(1 - least * least) * z if dim > 1 else x
+    a, b = (bucket_keys(v, hashes, 1) for v in (x, y))
+    p = float((a[:, :, None] == b[:, None, :]).any((1, 2)).mean())
+    return max(0.02, p - 2 * np.sqrt(p * (1 - p) / pairs) - 1 / pairs)
+
+
+@functools.lru_cache(maxsize=256)
+def plan(n: int, dim: int, least: float) -> tuple[int, int]:
+    """Hashes to a bucket and tables for ``n`` vectors of a length."""
+    axes, hashes = 2 << max(0, (dim - 1).bit_length()), 2
+    while hashes < 4 and n > BUCKET * axes**hashes:
+        hashes += 1
+    p = meeting_odds(dim, hashes, least)
+    return hashes, max(2, int(np.ceil(np.log(MISS) / np.log(1 - p))))
+
+
 def _pairs_of_runs(starts: np.ndarray, ends: np.ndarray, own: np.ndarray, a: np.ndarray, b: np.ndarray, most: int = 400_000):
     """All pairs of rows of each group, between its two blocks where they differ, in bounded parts."""
     n = ends - starts
@@ -116,8 +141,9 @@ def _pairs(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, own: np.ndarray,
         yield i[ok], j[ok]
 
 
-def candidate_components(vectors: DataFrame, scratch: Scratch, least: float, hashes: int, tables: int) -> DataFrame:
+def candidate_components(vectors: DataFrame, scratch: Scratch, least: float, hashes: int | None = None, tables: int | None = None) -> DataFrame:
     """``(node, root)`` of rows ``(uid, dim, vec)`` that may belong together."""
+    sizes = {r.dim: r["count"] for r in vectors.groupBy("dim").count().collect()}  # a row for each length
 
     def hash_(batches):
         for batch in batches:
@@ -126,7 +152,8 @@ def candidate_components(vectors: DataFrame, scratch: Scratch, least: float, has
                 x = matrix(b.column("vec"), dim)
                 top = np.abs(x).max(1, keepdims=True)
                 q = np.rint(x / top * 127).astype(np.int8)
-                keys = np.sort(bucket_keys(x / top, hashes, tables), axis=1)
+                h, t = plan(sizes[dim], dim, least)
+                keys = np.sort(bucket_keys(x / top, hashes or h, tables or t), axis=1)
                 first = np.concatenate([np.ones((len(x), 1), bool), keys[:, 1:] != keys[:, :-1]], axis=1)
                 row, col = np.nonzero(first)
                 for s in range(0, len(row), 100_000):
@@ -162,13 +189,14 @@ def candidate_components(vectors: DataFrame, scratch: Scratch, least: float, has
 
 
 def exact_links(members: DataFrame, scratch: Scratch, least: float) -> tuple[DataFrame, DataFrame]:
-    """Of rows ``(root, uid, dim, vec)``: ``(uid, n_links)`` and links that span the true components."""
+    """Of rows ``(root, uid, dim, vec, size)``: ``(uid, n_links)``, counting each row as ``size`` of them, and
+    links that span the true components."""
 
     def compare(batches):
         for t, starts, ends in groups_of(batches, ["root", "block_a", "block_b"]):
-            uid, own, a, b, dims = (t.column(c).to_numpy() for c in ("uid", "block", "block_a", "block_b", "dim"))
+            uid, own, a, b, dims, weight = (t.column(c).to_numpy() for c in ("uid", "block", "block_a", "block_b", "dim", "size"))
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                x = unit(matrix(t.column("vec").slice(s, e - s), int(dims[s])))
+                x, size = unit(matrix(t.column("vec").slice(s, e - s), int(dims[s]))), weight[s:e]
                 cross = a[s] != b[s]
                 left = np.flatnonzero(own[s:e] == a[s]) if cross else np.arange(e - s)
                 right = np.flatnonzero(own[s:e] == b[s]) if cross else left
@@ -178,9 +206,9 @@ def exact_links(members: DataFrame, scratch: Scratch, least: float) -> tuple[Dat
                     hit = x[rows] @ x[right].T >= least
                     if not cross:
                         hit[np.arange(len(rows)), at + np.arange(len(rows))] = False
-                    n[rows] += hit.sum(1)
+                    n[rows] += hit @ size[right]
                     if cross:
-                        n[right] += hit.sum(0)
+                        n[right] += size[rows] @ hit
                     i, j = np.nonzero(hit)
                     found.append(forest(uid[s + rows[i]], uid[s + right[j]]))
                 i, j = forest(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (uid[:0], uid[:0])
@@ -200,17 +228,23 @@ def embedding_near_dedup(df: DataFrame, vec: str = "embedding", id: str = "vec_i
     out.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession)
-    rows = scratch.write(numbered(df, vec, id))
+    # equal vectors, by two 64-bit hashes, are one class
+    same = F.struct(F.xxhash64("vec").alias("a"), F.xxhash64(F.lit(1), "vec").alias("b"))
+    rows = scratch.write(numbered(df, vec, id).withColumn("same", same))
     good = rows.filter("vec is not null")
-    hashes = hashes or (2 if good.count() <= TWO_HASHES else 3)
-    may = scratch.write(candidate_components(good, scratch, least, hashes, tables or TABLES.get(hashes, 5)))
-    members = good.join(may.withColumnRenamed("node", "uid"), "uid")
-    n, links = exact_links(members.select("root", "uid", "dim", "vec"), scratch, least)
+    classes = scratch.write(good.groupBy("same").agg(F.min("uid").alias("uid"), F.min("id").alias("id"), F.count(F.lit(1)).alias("size"), F.first("dim").alias("dim"), F.first("vec").alias("vec")))
+    total = classes.agg(F.sum("size")).first()[0] or 0
+    may = scratch.write(candidate_components(classes, scratch, least, hashes, tables))
+    members = classes.join(may.withColumnRenamed("node", "uid"), "uid")
+    n, links = exact_links(members.select("root", "uid", "dim", "vec", "size"), scratch, least)
     roots = components(spark, links, scratch).withColumnRenamed("node", "uid")
-    out = scratch.write(rows.select("uid", "id").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid")))
-    low = out.groupBy("root").agg(F.min("id").alias("component_id"))
-    out = out.join(low, "root").join(n, "uid", "left")
-    return out.select(F.col("id").alias(id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    rooted = scratch.write(classes.select("same", "uid", "id", "size").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid")))
+    low = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    facts = rooted.join(low, "root").join(n, "uid", "left")
+    facts = scratch.write(facts.select("same", "size", (F.coalesce("n_links", F.lit(0)) + F.col("size") - 1).cast("long").alias("n_links"), "component_id"))
+    out = join_by_key(good.select("id", "same"), facts, "same", "size", total).select("id", "n_links", "component_id")
+    out = out.unionByName(rows.filter("vec is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

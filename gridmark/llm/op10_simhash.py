@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_key, components, groups_of, table
+from .common import Scratch, by_key, components, groups_of, join_by_key, table
 from .golay import BITS, ball, index_table
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -186,14 +186,14 @@ def fuzzy_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def simhash_groups(rows: DataFrame, scratch: Scratch, order: str, link: Callable[[DataFrame], DataFrame] = fuzzy_links) -> DataFrame:
-    """``(fp, first)``: each distinct fingerprint of ``rows(order, fp)`` and the smallest ``order`` of
-    all rows whose fingerprints can be reached from it by links."""
+    """``(fp, n, first)``: each distinct fingerprint of ``rows(order, fp)``, its rows, and the smallest ``order``
+    of all rows whose fingerprints can be reached from it by links."""
     spark = rows.sparkSession
-    fps = scratch.write(rows.groupBy("fp").agg(F.min(order).alias("first")))
+    fps = scratch.write(rows.groupBy("fp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")))
     links = components(spark, link(fps), scratch)
     rooted = scratch.write(fps.join(links.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     low = rooted.groupBy("root").agg(F.min("first").alias("low"))
-    return rooted.join(low, "root").select("fp", F.col("low").alias("first"))
+    return rooted.join(low, "root").select("fp", "n", F.col("low").alias("first"))
 
 
 def simhash_near_dedup(df: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -206,9 +206,10 @@ def simhash_near_dedup(df: DataFrame, text: str = "text", id: str = "doc_id", sh
     """
     scratch = Scratch(df.sparkSession)
     rows = scratch.write(fingerprints(df.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", ["id"], shingle))
-    groups = simhash_groups(rows, scratch, "id")
+    groups = scratch.write(simhash_groups(rows, scratch, "id"))
+    total = groups.agg(F.sum("n")).first()[0] or 0
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return rows.join(groups, "fp").select(F.col("id").alias(id), hexed.alias("fingerprint"), F.col("first").alias("component_id"))
+    return join_by_key(rows, groups, "fp", "n", total).select(F.col("id").alias(id), hexed.alias("fingerprint"), F.col("first").alias("component_id"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
