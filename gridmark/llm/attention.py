@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK, DIM, HIDDEN, CLASSES, SINGLES, OWN_ROWS = 16, 16, 32, 64, 24, 4096
+BLOCK, DIM, HIDDEN, CLASSES, SINGLES, OWN_ROWS = 16, 24, 48, 256, 200, 4096
 _FAR = np.float32(-1e9)
 #: distance from query i of a block to key j of the block before and the block itself
 _DIST = BLOCK + np.arange(BLOCK)[:, None] - np.arange(2 * BLOCK)[None, :]

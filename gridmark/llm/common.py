@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import glob
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -16,6 +20,18 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+@functools.cache
+def one_thread() -> None:
+    """Keeps numpy's matrix products in this worker to one thread: a task has one core, and small products
+    on several threads take many times as long. Without a known library nothing changes."""
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            f = getattr(ctypes.CDLL(path), name, None)
+            if f is not None:
+                f(1)
+                break
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, by whatever file system the path names."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

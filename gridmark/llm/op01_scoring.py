@@ -3,7 +3,7 @@
 Fitting reads all training texts: one pass counts words and, within them, subword pairs (partial counts
 of every task meet in a shuffle), then each training round lets every task train a copy of the model on its
 share of the texts, whole, and averages the copies by their tokens; each text is trained on in one of the
-rounds. What is gathered grows with the input; what is collected is bounded by the subword vocabulary and the model's size.
+rounds. Copies are averaged by bucket of tasks and then over buckets. What is gathered grows with the input; what is collected is bounded by the subword vocabulary and the model's size.
 
 Scoring is one pass. Frequent words (at most ``HOT`` of them, by a threshold on counts) are broadcast;
 the counts of all other words are joined to the texts' remaining words in a shuffle.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .attention import BLOCK, Scorer, Trainer, Vocabulary, lay_out, start
 from .bpe import default_path, encoder
-from .common import Scratch, by_key, groups_of, table
+from .common import Scratch, by_key, groups_of, one_thread, table
 
 #: words whose counts may be broadcast: 16 bytes each
 HOT = 1 << 19
@@ -32,8 +32,9 @@ BUCKETS = 16
 #: of the texts, one of EVERY is trained on, whole, in each of ROUNDS rounds: all of them where both are the same
 EVERY, ROUNDS = 2, 2
 #: blocks of a training step; texts wait until there are WAIT bytes of them
-STEP, WAIT = 64, 200_000
-_SLICE = 4096
+STEP, WAIT = 128, 200_000
+#: numbers of the model that are averaged together; buckets of tasks that are averaged first
+_SLICE, COPIES = 4096, 1024
 #: the key of a text's end; words have the XXH64 of their bytes
 END_KEY = xxhash.xxh64_intdigest(b" end of text ") - (1 << 63)
 
@@ -104,6 +105,7 @@ def _count(path: str):
 
 def _train(shared: Broadcast, path: str, part: int):
     def run(batches):
+        one_thread()
         enc = encoder(path)
         end = enc.tok.token_to_id("<|endoftext|>") or 0
         vocab, flat = shared.value["vocab"], shared.value["flat"]
@@ -130,18 +132,25 @@ def _train(shared: Broadcast, path: str, part: int):
         if waiting:
             learn()
         if trainer.tokens:
+            task = TaskContext.get()
+            bucket = task.partitionId() % COPIES if task else 0
             for i, a in enumerate(range(0, len(flat), _SLICE)):
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([trainer.tokens], pa.int64()), pa.array([trainer.flat[a : a + _SLICE].tobytes()])], names=["slice", "n", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([bucket], pa.int64()), pa.array([trainer.tokens], pa.int64()), pa.array([trainer.flat[a : a + _SLICE].tobytes()])], names=["slice", "bucket", "n", "w"])
 
     return run
 
 
-def _mean(batches):
-    for t, starts, ends in groups_of(batches, ["slice"]):
-        own, n, w = t.column("slice").to_numpy(), t.column("n").to_numpy(), t.column("w")
-        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-            total = sum(float(n[i]) * np.frombuffer(w[i].as_py(), np.float32).astype(np.float64) for i in range(a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([int(own[a])], pa.int64()), pa.array([(total / n[a:b].sum()).astype(np.float32).tobytes()])], names=["slice", "w"])
+def _mean(keys: list[str]):
+    """Means of the copies of a slice, weighted by tokens: of each bucket of tasks, then of the buckets."""
+
+    def run(batches):
+        for t, starts, ends in groups_of(batches, keys):
+            own, n, w = t.column("slice").to_numpy(), t.column("n").to_numpy(), t.column("w")
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                total = sum(float(n[i]) * np.frombuffer(w[i].as_py(), np.float32).astype(np.float64) for i in range(a, b))
+                yield pa.RecordBatch.from_arrays([pa.array([int(own[a])], pa.int64()), pa.array([int(n[a:b].sum())], pa.int64()), pa.array([(total / n[a:b].sum()).astype(np.float32).tobytes()])], names=["slice", "n", "w"])
+
+    return run
 
 
 def fit(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str = "text", path: str | None = None) -> Model:
@@ -170,8 +179,10 @@ def fit(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str = "text
     flat = start(vocab)
     for r in range(ROUNDS):
         shared = spark.sparkContext.broadcast({"vocab": vocab, "flat": flat})
-        copies = docs.mapInArrow(_train(shared, path, r), "slice bigint, n bigint, w binary")
-        means = by_key(copies, ["slice"], [], _mean, "slice bigint, w binary").collect()  # the model's size
+        copies = docs.mapInArrow(_train(shared, path, r), "slice bigint, bucket bigint, n bigint, w binary")
+        for keys in (["slice", "bucket"], ["slice"]):
+            copies = by_key(copies, keys, [], _mean(keys), "slice bigint, n bigint, w binary")
+        means = copies.collect()  # the model's size
         for s in means:
             w = np.frombuffer(s.w, np.float32)
             flat[s.slice * _SLICE : s.slice * _SLICE + len(w)] = w
@@ -243,6 +254,7 @@ class _Words:
 
 def _score(shared: Broadcast, path: str, names: list[str]):
     def run(batches):
+        one_thread()
         m, enc = shared.value, encoder(path)
         vocab, hot, n_hot = m["vocab"], m["key"], m["n"]
         scorer = Scorer(m["flat"], vocab)

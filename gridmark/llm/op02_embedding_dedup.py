@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocked, by_key, components, groups_of, join_by_key, table
+from .common import Scratch, blocked, by_key, components, groups_of, join_by_key, one_thread, table
 from .op10_simhash import _ranges, forest
 from .vectors import matrix, numbered, unit
 
@@ -162,6 +162,7 @@ def candidate_components(vectors: DataFrame, scratch: Scratch, least: float, has
                     yield pa.RecordBatch.from_arrays([pa.array(keys[r, col[s : s + 100_000]]), b.column("dim").take(pa.array(r)), b.column("uid").take(pa.array(r)), small.take(pa.array(r))], names=["key", "dim", "uid", "q"])
 
     def meet(batches):
+        one_thread()
         for t, starts, ends in groups_of(batches, ["key", "dim", "block_a", "block_b"]):
             uid, own, a, b, dims = (t.column(c).to_numpy() for c in ("uid", "block", "block_a", "block_b", "dim"))
             multi = ends - starts > 1
@@ -193,6 +194,7 @@ def exact_links(members: DataFrame, scratch: Scratch, least: float) -> tuple[Dat
     links that span the true components."""
 
     def compare(batches):
+        one_thread()
         for t, starts, ends in groups_of(batches, ["root", "block_a", "block_b"]):
             uid, own, a, b, dims, weight = (t.column(c).to_numpy() for c in ("uid", "block", "block_a", "block_b", "dim", "size"))
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):

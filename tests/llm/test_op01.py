@@ -149,3 +149,29 @@ def test_every_training_text_is_trained_on_whole(monkeypatch):
     want = Counter(i for ids in enc.encode([t.encode() for t in texts]) for i in np.frombuffer(ids, "<u4").tolist())
     want[end] += len(texts)
     assert seen == want
+
+
+def test_partitionings_give_like_scores(spark):
+    """Copies of the model see other texts under another partitioning; all scores together differ by a twentieth at most."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    totals = []
+    for n in (3, 5):
+        scratch = Scratch(spark)
+        part = docs.repartition(n, "doc_id")
+        model = op.fit(part.filter(~op.held_out("doc_id")), scratch)
+        rows = op.score(part, model, scratch, op.held_out("doc_id")).collect()
+        totals.append((sum(r.score for r in rows), sum(r.base_score for r in rows)))
+    assert abs(totals[0][1] - totals[1][1]) < 1e-6 * abs(totals[0][1])
+    assert abs(totals[0][0] - totals[1][0]) < 0.05 * abs(totals[0][0]), totals
+
+
+def test_means_by_bucket_equal_the_mean_of_all(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i % 2, b, int(rng.integers(1, 9)), rng.normal(size=5).astype(np.float32).tobytes()) for i in range(40) for b in (0, 1, 2)]
+    df = spark.createDataFrame(rows, "slice long, bucket long, n long, w binary").repartition(4)
+    for keys in (["slice", "bucket"], ["slice"]):
+        df = op.by_key(df, keys, [], op._mean(keys), "slice bigint, n bigint, w binary" if keys == ["slice"] else "slice bigint, n bigint, w binary")
+    for r in df.collect():
+        own = [(x[2], np.frombuffer(x[3], np.float32)) for x in rows if x[0] == r.slice]
+        assert r.n == sum(n for n, _ in own)
+        assert np.allclose(np.frombuffer(r.w, np.float32), sum(n * w for n, w in own) / r.n, atol=1e-5)
