@@ -12,11 +12,11 @@ text whole. Words count by presence, so that one word in a long text weighs as m
 from __future__ import annotations
 
 import string
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -197,8 +197,17 @@ def _texts(b: pa.RecordBatch, name: str):
         yield first, out
 
 
+def pack_row(numbers: np.ndarray) -> bytes:
+    """Increasing numbers, as their compressed steps."""
+    return zlib.compress(np.diff(numbers, prepend=0).astype("<i4").tobytes(), 1)
+
+
+def unpack_row(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(packed), "<i4"), dtype=np.int32)
+
+
 def _hashed(batches):
-    """Labelled texts as little-endian numbers of their weights: hashes, then ``WIDTH`` and their bins.
+    """Labelled texts as packed numbers of their weights: hashes, then ``WIDTH`` and their bins.
 
     Of an id's texts only those go on whose hash is below those seen before in the task.
     """
@@ -218,22 +227,44 @@ def _hashed(batches):
             of, hashes, bins = reader.read(texts)
             seen = np.unique((of[:, None] << 32 | hashes)[hashes >= 0])
             for i, own in enumerate(np.split(seen & 0xFFFFFFFF, np.searchsorted(seen >> 32, np.arange(1, len(texts))))):
-                out.append(np.concatenate([own, WIDTH + bins[i]]).astype("<i4").tobytes())
+                out.append(pack_row(np.concatenate([own, WIDTH + bins[i]])))
         yield pa.RecordBatch.from_arrays([b.column("own_id"), b.column("th"), b.column("grade"), pa.array(out, pa.binary())], names=["own_id", "th", "grade", "active"])
 
 
-def fit_rows(grade: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> Ordinal:
-    """Fits on rows whose weights' numbers stand in ``flat``, up to ``ends`` of each."""
-    df = np.bincount(flat, minlength=WIDTH + N_BINS)
+def _placed(rows: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with their numbers as ``place`` has them, negative ones left out: all of them, and where each ends."""
+    ends = np.cumsum([int((place[r] >= 0).sum()) for r in rows])
+    flat = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+    for r, end in zip(rows, ends.tolist(), strict=True):
+        own = place[r]
+        own = own[own >= 0]
+        flat[end - len(own) : end] = own
+    return flat, ends
+
+
+class _Packed:
+    """Packed rows, unpacked one at a time whenever they are gone through."""
+
+    def __init__(self, rows: list):
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __iter__(self):
+        return map(unpack_row, self.rows)
+
+
+def fit_rows(grade: np.ndarray, rows) -> Ordinal:
+    """Fits on ``rows`` of distinct weights' numbers."""
+    df = np.zeros(WIDTH + N_BINS, np.int32)
+    for r in rows:
+        df[r] += 1
     known = df >= LEAST_DF
     known[WIDTH:] = True
     n = int(known.sum())
-    place = np.where(known, np.cumsum(known) - 1, -1).astype(np.int32)
-    flat = place[flat]
-    keep = flat >= 0
-    ends = np.concatenate([[0], np.cumsum(keep)])[ends]
+    flat, ends = _placed(rows, np.where(known, np.cumsum(known) - 1, -1).astype(np.int32))
     steps = max(STEPS, PASSES * -(-len(grade) // STEP))
-    flat = flat[keep]
     # most weights go in a first fit; the others, which it pulls towards zero, are fitted again
     met = np.minimum(df[known] / max(len(grade), 1), 1)
     price = SPARSE * np.sqrt(met * (1 - met) / max(len(grade), 1))  # what chance alone pulls a weight by, times SPARSE
@@ -241,10 +272,10 @@ def fit_rows(grade: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> Ordinal:
     w, _ = fit_ordinal((flat, ends), grade, n, steps=steps, ridge=1e-5, batch=STEP, price=price)
     left = w != 0
     left[n - N_BINS :] = True
-    place = np.where(left, np.cumsum(left) - 1, -1)[flat]
-    keep = place >= 0
-    ends = np.concatenate([[0], np.cumsum(keep)])[ends]
-    w[left], thresholds = fit_ordinal((place[keep], ends), grade, int(left.sum()), steps=1500)
+    del flat
+    place = np.full(len(known), -1, np.int32)
+    place[np.flatnonzero(known)[left]] = np.arange(int(left.sum()))
+    w[left], thresholds = fit_ordinal(_placed(rows, place), grade, int(left.sum()), steps=1500)
     weights = np.zeros(WIDTH + N_BINS)
     weights[known] = w
     return Ordinal(weights[:WIDTH].astype(np.float32), weights[WIDTH:], thresholds)
@@ -260,12 +291,9 @@ def fit(docs: DataFrame, ratings: DataFrame, text: str = "text", id: str = "doc_
     hashed = texts.select("own_id", "th", "grade", "text").mapInArrow(_hashed, f"own_id {docs.schema[id].dataType.simpleString()}, th bigint, grade int, active binary")
     rows = hashed.groupBy("own_id").agg(F.min_by(F.struct("th", "grade", "active"), "th").alias("r")).select("own_id", "r.*")
     rows = rows.toArrow()  # at most SAMPLE rows
-    rows = rows.take(pa.array(np.lexsort((rows.column("own_id").to_numpy(), rows.column("th").to_numpy())), pa.int64()))
-    active = rows.column("active").combine_chunks()
-    active = pa.concat_arrays(active.chunks) if isinstance(active, pa.ChunkedArray) and active.num_chunks else active
-    ends = np.cumsum(pc.binary_length(rows.column("active")).to_numpy().astype(np.int64)) // 4
-    flat = np.frombuffer(b"".join(active.to_pylist()), "<i4")
-    return fit_rows(rows.column("grade").to_numpy().astype(np.int64), flat, ends)
+    order = np.lexsort((rows.column("own_id").to_numpy(), rows.column("th").to_numpy()))
+    packed = rows.column("active").to_pylist()
+    return fit_rows(rows.column("grade").to_numpy()[order].astype(np.int64), _Packed([packed[i] for i in order.tolist()]))
 
 
 def score_quality(docs: DataFrame, model: Ordinal, text: str = "text", keep: list[str] | None = None) -> DataFrame:

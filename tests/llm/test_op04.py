@@ -107,7 +107,7 @@ def test_repeated_ids_count_once(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     ratings = spark.createDataFrame([(i, g) for i, _, g in rows] * 50, "doc_id long, grade int")
     seen = []
-    keep, op.fit_rows = op.fit_rows, lambda grade, flat, ends: seen.append((sorted(grade.tolist()), len(ends))) or keep(grade, flat, ends)
+    keep, op.fit_rows = op.fit_rows, lambda grade, rows: seen.append((sorted(grade.tolist()), len(rows))) or keep(grade, rows)
     try:
         op.fit(df, ratings)
     finally:
