@@ -574,3 +574,6 @@ def ocr_score(spark, d):
     r = _readings(spark, d).select((F.col("page") % 3).cast("string").alias("file"), F.col("line_id").alias("id"), F.concat(F.lit("A"), (F.col("line_id") % 4).cast("string")).alias("cell"), F.concat("text", F.lit(" 25M 12-06")).alias("text"))
     lines = spark.sql("select stack(6, '0', 'reviewed: A1, A2', '0', '# note', '0', '5 = T5 25M 12-07', '1', 'reviewed: all', '1', 'missed A3: 12 20M', '2', 'missed A1: 3 15M') as (file, value)")
     return ocr.score_pages(r, ocr.parse_corrections(lines))
+
+
+from . import reader_queries  # noqa: E402,F401  adds its queries
