@@ -37,6 +37,10 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 #: low bits that hold a place among the texts taken at once; the first of equal hashes is retained
 _POS_BITS = 31
 _KNOWN = 150_000
+#: words and texts taken at once
+_FLAT, _ROWS = 60_000, 1_000
+#: a place as packed into a run: little-endian, without padding
+_PLACE = np.dtype([("gram", "<i8"), ("around", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -118,15 +122,20 @@ def runs_of(text: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]) | (grams % RUN == 0))
 
 
+def _slices(batches):
+    """The same rows, at most ``_ROWS`` at once."""
+    return (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS))
+
+
 def _find(least: int, gram: int):
     def run(batches):
         words = Words()
-        for b in batches:
+        for b in _slices(batches):
             texts = b.column("text").cast(pa.binary()).to_pylist()
             at = 0
             while at < len(texts):
                 flat, lengths, first = [], [], at
-                while at < len(texts) and len(flat) < 200_000:
+                while at < len(texts) and len(flat) < _FLAT:
                     ws = (texts[at] or b"").split()
                     flat += ws
                     lengths.append(len(ws))
@@ -137,20 +146,33 @@ def _find(least: int, gram: int):
                 sums, inverse = prefixes(around.view(np.uint64))
                 run_hash = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64)).view(np.int64)
                 lo, hi = lo.astype(np.int32), hi.astype(np.int32)
-                each = pa.StructArray.from_arrays([pa.array(x) for x in (g, around, lo, hi)], ["gram", "around", "lo", "hi"])
+                packed = np.empty(len(t), _PLACE)
+                packed["gram"], packed["around"], packed["lo"], packed["hi"] = g, around, lo, hi
+                cuts = (np.append(start, len(t)) * _PLACE.itemsize).astype(np.int32)
+                each = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(cuts), pa.py_buffer(packed.tobytes())])
                 rows = pa.array(t[start] + first)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("d").take(rows), b.column("th").take(rows), pa.array(run_hash), pa.array(lo[start]), pa.array(hi[end - 1] if len(end) else hi), pa.ListArray.from_arrays(pa.array(np.append(start, len(t)).astype(np.int32)), each)],
+                    [b.column("d").take(rows), b.column("th").take(rows), pa.array(run_hash), pa.array(lo[start]), pa.array(hi[end - 1] if len(end) else hi), each],
                     names=["d", "th", "run", "lo", "hi", "places"],
                 )
 
     return run
 
 
+def _unpacked(batches):
+    """A row for each place of the runs."""
+    for b in batches:
+        raw = b.column("places").to_pylist()
+        places = np.frombuffer(b"".join(raw), _PLACE)
+        of = pa.array(np.repeat(np.arange(len(raw)), [len(x) // _PLACE.itemsize for x in raw]))
+        own = [pa.array(np.ascontiguousarray(places[c])) for c in _PLACE.names]
+        yield pa.RecordBatch.from_arrays([b.column("d").take(of), b.column("th").take(of), *own], names=["d", "th", *_PLACE.names])
+
+
 def _windows(least: int):
     def run(batches):
         words = Words()
-        for b in batches:
+        for b in _slices(batches):
             d, th = b.column("d"), b.column("th")
             runs = b.column("runs").to_pylist()
             for i, text in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
@@ -165,7 +187,7 @@ def _windows(least: int):
 
 def _merged(least: int):
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             spans = []
             for runs in b.column("runs").to_pylist():
                 out: list[list[int]] = []
@@ -192,15 +214,14 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text: str = "text", id: st
     """
     d, th = _key(docs, id, text)
     docs = docs.select(d.alias("d"), th.alias("th"), F.col(text).alias("text"))
-    each = "array<struct<gram: bigint, around: bigint, lo: int, hi: int>>"
-    found = scratch.write(docs.mapInArrow(_find(least, gram), f"d bigint, th bigint, run bigint, lo int, hi int, places {each}"))
+    found = scratch.write(docs.mapInArrow(_find(least, gram), "d bigint, th bigint, run bigint, lo int, hi int, places binary"))
     repeats = (F.col("d") != F.col("first_d")) | (F.col("th") != F.col("first_th")) | (F.col("lo") != F.col("first_lo"))
     said = ["d", "th", "lo", "hi", F.col("first_d").alias("source")]
     # runs of places first: what repeats an earlier run as a whole is done in one row
     found = scratch.write(ranked(found, ["run"], [], ["d", "th", "lo"], [], scratch).select("d", "th", "lo", "hi", "places", "first_d", repeats.alias("repeat")))
     runs = found.filter("repeat").select(*said)
     # then places, neighbours in the order of their grams: equal neighbourhoods repeat those of the first
-    each = found.filter("not repeat").select("d", "th", F.explode("places").alias("p")).select("d", "th", "p.*")
+    each = found.filter("not repeat").select("d", "th", "places").mapInArrow(_unpacked, "d bigint, th bigint, gram bigint, around bigint, lo int, hi int")
     order = scratch.write(ranked(each, ["gram"], ["around"], ["d", "th", "lo"], ["hi"], scratch).withColumn("repeat", repeats))
     whole = order.filter("repeat").select(*said)
     # windows of first members, where a gram has several neighbourhoods: these, and the first of all
