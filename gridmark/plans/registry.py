@@ -112,7 +112,8 @@ def unit_convert(spark, d):
 
 
 @query("""select distinct t as title, array_to_string(list_transform(string_split(t, ','), lambda x: trim(replace(x, '/', '-'))), ';') as names from (select replace(element, '-', '/') || ', ' || element as t from v_bar
-    where cast(split_part(element, '-', 2) as int) < 100)""")
+    where cast(split_part(element, '-', 2) as int) < 100)
+  union all select distinct replace(element, '-', '/') || ', ' || element, '' from v_bar where cast(split_part(element, '-', 2) as int) >= 100""")
 def name_split(spark, d):
     t = _bars(spark, d).select(F.concat(F.replace("element", F.lit("-"), F.lit("/")), F.lit(", "), F.col("element")).alias("title")).distinct()
     return t.select("title", F.array_join(T.detail_names("title"), ";").alias("names"))
@@ -263,10 +264,10 @@ def detail_bars(spark, d):
     return out.groupBy("feuillet", "element", "diametre", "espacement_mm", "detail").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""with s as (select feuillet, element, bool_or(source = 'plan') as p, bool_or(source = 'atelier') as a from v_bar where quantite > 30 group by all)
+@query("""with s as (select feuillet, element, bool_or(source = 'plan') as p, bool_or(source = 'atelier') as a from v_bar group by all)
   select feuillet, count(*) filter (p) as plan, count(*) filter (a) as atelier, count(*) filter (p and a) as paired, count(*) filter (p and not a) as plan_only, count(*) filter (a and not p) as atelier_only from s group by feuillet""")
 def sheet_key_sets(spark, d):
-    return reporting.name_sets(_bars(spark, d).filter("quantite > 30"))
+    return reporting.name_sets(_bars(spark, d))
 
 
 @query()
@@ -510,11 +511,11 @@ def _word_overlap(spark, d, documents):
     return docs.join(items, "w").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
 
 
-@query("""with w as (select doc_id, unnest(list_distinct(regexp_extract_all(upper(strip_accents(text)), '[A-Z]{4,}'))) as w from documents where n_chars < 400), b as (select item_id, unnest(list_distinct(regexp_extract_all(upper(strip_accents(text)), '[A-Z]{4,}'))) as w from benchmark),
+@query("""with w as (select doc_id, unnest(list_distinct(regexp_extract_all(upper(replace(strip_accents(text), 'ß', 'SS')), '[A-Z]{4,}'))) as w from documents), b as (select item_id, unnest(list_distinct(regexp_extract_all(upper(replace(strip_accents(text), 'ß', 'SS')), '[A-Z]{4,}'))) as w from benchmark),
   w2 as (select distinct doc_id, rtrim(w, 'S') as w from w), b2 as (select distinct item_id, rtrim(w, 'S') as w from b)
   select doc_id, item_id, count(*) as shared from w2 join b2 on w2.w = b2.w group by doc_id, item_id""")
 def word_overlap_rank(spark, d):
-    return _word_overlap(spark, d, table(spark, d, "documents").filter("n_chars < 400"))
+    return _word_overlap(spark, d, table(spark, d, "documents"))
 
 
 @query()
