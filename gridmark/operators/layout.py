@@ -56,7 +56,7 @@ def next_below(points: DataFrame, marks: DataFrame, keys: list[str], point_id: s
 
 def row_of_lines(lines: DataFrame, titles: DataFrame, keys: list[str], line_id: str = "line_id") -> DataFrame:
     """Lines with the row of titles under them; lines below the last row are left out."""
-    rows = title_rows(titles, keys).groupBy(*keys, "row").agg(F.min("y0").alias("row_y"))
+    rows = title_rows(titles, keys, ties=("title_id",)).groupBy(*keys, "row").agg(F.min("y0").alias("row_y"))
     return next_below(lines, rows, keys, line_id, "y", "row_y", ["row"]).filter("row is not null")
 
 
@@ -64,9 +64,10 @@ def share_by_title(lines: DataFrame, titles: DataFrame, keys: list[str], line_id
     """Lines (x, y centres) with the title of their view: (keys, line_id, title_id).
 
     Views of a row are told apart at the widest stretch without lines between the centres of two
-    neighbouring titles; of equal stretches the last one counts.
+    neighbouring titles; of equal stretches the last one counts. Titles at the same place stand in order
+    of ``title_id``.
     """
-    placed = title_rows(titles, keys).withColumn("cx", centre("x0", "x1")).select(*keys, "row", "place", "title_id", "cx")
+    placed = title_rows(titles, keys, ties=("title_id",)).withColumn("cx", centre("x0", "x1")).select(*keys, "row", "place", "title_id", "cx")
     own = row_of_lines(lines, titles, keys, line_id).join(lines.select(*keys, line_id, "x"), [*keys, line_id])
     w = W.partitionBy(*keys, "row").orderBy("place")
     pairs = placed.withColumn("right_x", F.lead("cx").over(w)).filter("right_x is not null").select(*keys, "row", "place", F.col("cx").alias("left_x"), "right_x")
@@ -125,7 +126,7 @@ def span_titles(lines: DataFrame) -> DataFrame:
 
 def continuous_beams(titles: DataFrame, strokes: DataFrame, keys: list[str]) -> DataFrame:
     """Spans under one unbroken stretch of strokes as one beam: (keys, beam, spans), left to right."""
-    rows = title_rows(titles, keys)
+    rows = title_rows(titles, keys, ties=("title_id",))
     bands = rows.groupBy(*keys, "row").agg(F.min("y0").alias("bottom"), F.max("y1").alias("under"))
     bands = bands.withColumn("top", F.coalesce(F.lag("under").over(W.partitionBy(*keys).orderBy("row")), F.lit(0.0)))
     near = strokes.join(bands, keys).filter((F.col("y") >= F.col("top")) & (F.col("y") < F.col("bottom")))
