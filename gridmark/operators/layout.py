@@ -119,9 +119,9 @@ def stacked(lines: DataFrame, keys: list[str], gap: float = 1.3, indent: float =
     return lines.groupBy(*keys).applyInPandas(fold, schema)
 
 
-def span_titles(lines: DataFrame) -> DataFrame:
-    """Titles of beam spans, with the name of the span."""
-    return lines.filter(F.col("text").rlike("^" + K.SPAN_TITLE)).withColumn("name", F.regexp_extract("text", "^" + K.SPAN_TITLE, 1))
+def span_titles(lines: DataFrame, title: str = K.SPAN_TITLE) -> DataFrame:
+    """Titles of beam spans, with the name of the span: the first group of ``title``."""
+    return lines.filter(F.col("text").rlike("^" + title)).withColumn("name", F.regexp_extract("text", "^" + title, 1))
 
 
 def continuous_beams(titles: DataFrame, strokes: DataFrame, keys: list[str]) -> DataFrame:

@@ -30,5 +30,10 @@ def copies(spark, tmp_path_factory):
     return at
 
 
+@pytest.mark.parametrize("name", ["read_plan_beams"])
+def test_beams_of_suppliers_with_long_numbers(spark, copies, name):
+    same_as_sql(spark, name, copies)
+
+
 def test_titles_at_the_same_place_in_order_of_their_numbers(spark, copies):
     same_as_sql(spark, "widest_gap_split", copies)
