@@ -16,6 +16,8 @@ from array import array
 
 import numpy as np
 
+from .common import CACHES
+
 #: printable Latin-1 and ASCII white space need neither normalisation nor Unicode tables
 _ODD = "[^\x09-\x0d -~¡-¬®-ÿ]"
 _SPACE = "\x09-\x0d "
@@ -133,3 +135,6 @@ class WordEncoder:
 def encoder(path: str, most: int = _PIECES) -> WordEncoder:
     """One encoder for each file and size of its cache in a Python worker."""
     return WordEncoder(path, most)
+
+
+CACHES.append(encoder.cache_clear)

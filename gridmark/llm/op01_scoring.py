@@ -181,7 +181,7 @@ def fit(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str = "text
         shared = spark.sparkContext.broadcast({"vocab": vocab, "flat": flat})
         copies = docs.mapInArrow(_train(shared, path, r), "slice bigint, bucket bigint, n bigint, w binary")
         for keys in (["slice", "bucket"], ["slice"]):
-            copies = by_key(copies, keys, [], _mean(keys), "slice bigint, n bigint, w binary")
+            copies = by_key(copies, keys, [], _mean(keys), "slice bigint, n bigint, w binary", keep=True)
         means = copies.collect()  # the model's size
         for s in means:
             w = np.frombuffer(s.w, np.float32)

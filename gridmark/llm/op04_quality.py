@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import free_name, lean, table
 
 #: bounds of the fit: labelled texts, hashed weights
 SAMPLE, WIDTH = 20_000, 1 << 20
@@ -288,7 +288,7 @@ def fit(docs: DataFrame, ratings: DataFrame, text: str = "text", id: str = "doc_
     rated = ratings.select(F.col(id).alias("rated_id"), F.col("grade").cast("int").alias("grade")).dropna().filter(F.col("grade").between(0, GRADES - 1))
     rated = rated.groupBy("rated_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("rated_id"), "rated_id").limit(SAMPLE)
     texts = docs.select(F.col(id).alias("own_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).join(F.broadcast(rated), F.col("own_id") == F.col("rated_id"))
-    hashed = texts.select("own_id", "th", "grade", "text").mapInArrow(_hashed, f"own_id {docs.schema[id].dataType.simpleString()}, th bigint, grade int, active binary")
+    hashed = texts.select("own_id", "th", "grade", "text").mapInArrow(lean(_hashed), f"own_id {docs.schema[id].dataType.simpleString()}, th bigint, grade int, active binary")
     rows = hashed.groupBy("own_id").agg(F.min_by(F.struct("th", "grade", "active"), "th").alias("r")).select("own_id", "r.*")
     rows = rows.toArrow()  # at most SAMPLE rows
     order = np.lexsort((rows.column("own_id").to_numpy(), rows.column("th").to_numpy()))
@@ -319,7 +319,7 @@ def score_quality(docs: DataFrame, model: Ordinal, text: str = "text", keep: lis
             tails = m.tails(np.concatenate(scores))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(tails.sum(1)), pa.array(tails[:, -1])], names=names)
 
-    return docs.mapInArrow(run, ", ".join(kinds))
+    return docs.mapInArrow(lean(run), ", ".join(kinds))
 
 
 def ratings_of(labels: DataFrame) -> DataFrame:

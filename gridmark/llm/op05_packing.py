@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import default_path, encoder
-from .common import Scratch, by_key, free_name, groups_of, table
+from .common import Scratch, by_key, free_name, groups_of, lean, table
 
 #: pieces that a partition packs at once, about
 DEAL = 60_000
@@ -130,7 +130,7 @@ def _pieces(docs: DataFrame, text: str, path: str, capacity: int, end_id: int, w
             yield pa.RecordBatch.from_arrays([*own, *(pa.array(rows[c], t) for c, t in zip(new, types, strict=False))], names=[*kept, *new])
 
     schema = [*kinds, "piece int", "start bigint", "length bigint", "ids_crc32 bigint", "pid bigint"] + ["ids binary"] * with_ids
-    return docs.mapInArrow(run, ", ".join(schema))
+    return docs.mapInArrow(lean(run, keep=True), ", ".join(schema))
 
 
 def best_fit_pack(docs: DataFrame, text: str = "text", path: str | None = None, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, deal: int = DEAL) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name, ranked, table
+from .common import Scratch, free_name, lean, ranked, table
 
 MIN_WORDS, GRAM = 50, 10
 #: places that follow each other in a run, on average
@@ -214,14 +214,14 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text: str = "text", id: st
     """
     d, th = _key(docs, id, text)
     docs = docs.select(d.alias("d"), th.alias("th"), F.col(text).alias("text"))
-    found = scratch.write(docs.mapInArrow(_find(least, gram), "d bigint, th bigint, run bigint, lo int, hi int, places binary"))
+    found = scratch.write(docs.mapInArrow(lean(_find(least, gram)), "d bigint, th bigint, run bigint, lo int, hi int, places binary"))
     repeats = (F.col("d") != F.col("first_d")) | (F.col("th") != F.col("first_th")) | (F.col("lo") != F.col("first_lo"))
     said = ["d", "th", "lo", "hi", F.col("first_d").alias("source")]
     # runs of places first: what repeats an earlier run as a whole is done in one row
     found = scratch.write(ranked(found, ["run"], [], ["d", "th", "lo"], [], scratch).select("d", "th", "lo", "hi", "places", "first_d", repeats.alias("repeat")))
     runs = found.filter("repeat").select(*said)
     # then places, neighbours in the order of their grams: equal neighbourhoods repeat those of the first
-    each = found.filter("not repeat").select("d", "th", "places").mapInArrow(_unpacked, "d bigint, th bigint, gram bigint, around bigint, lo int, hi int")
+    each = found.filter("not repeat").select("d", "th", "places").mapInArrow(lean(_unpacked), "d bigint, th bigint, gram bigint, around bigint, lo int, hi int")
     order = scratch.write(ranked(each, ["gram"], ["around"], ["d", "th", "lo"], ["hi"], scratch).withColumn("repeat", repeats))
     whole = order.filter("repeat").select(*said)
     # windows of first members, where a gram has several neighbourhoods: these, and the first of all
@@ -229,10 +229,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text: str = "text", id: st
     part = other.select("d", "th", "lo", "hi").union(other.select("head_d", "head_th", "head_lo", "head_hi")).distinct()
     part = part.groupBy("d", "th").agg(F.collect_list(F.struct(F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"))).alias("runs"))
     part = docs.withColumnsRenamed({"d": "doc_d", "th": "doc_th"}).join(part, (F.col("doc_d") == F.col("d")) & (F.col("doc_th") == F.col("th")))
-    windows = scratch.write(part.select("d", "th", "text", "runs").mapInArrow(_windows(least), "d bigint, th bigint, w bigint, lo int"))
+    windows = scratch.write(part.select("d", "th", "text", "runs").mapInArrow(lean(_windows(least)), "d bigint, th bigint, w bigint, lo int"))
     single = ranked(windows.withColumn("hi", F.col("lo")), ["w"], [], ["d", "th", "lo"], [], scratch).filter(repeats).select(*said)
     runs = runs.union(whole).union(single).groupBy("d", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"), F.sort_array(F.collect_set(F.nullif("source", F.lit(2**63 - 1)))).alias("sources"))
-    return runs.mapInArrow(_merged(least), "d bigint, th bigint, sources array<bigint>, spans array<struct<start: int, end: int>>")
+    return runs.mapInArrow(lean(_merged(least)), "d bigint, th bigint, sources array<bigint>, spans array<struct<start: int, end: int>>")
 
 
 def _cut(keep: list[str], text: str, spans: str):
@@ -272,7 +272,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", leas
     d, th = _key(docs, id, text)
     joined = docs.join(spans, (d == F.col(names["d"])) & (th == F.col(names["th"])), "left").drop(names["d"], names["th"])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(_cut(docs.columns, text, names["spans"]), schema)
+    return joined.mapInArrow(lean(_cut(docs.columns, text, names["spans"])), schema)
 
 
 def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_key, components, groups_of, join_by_key, table
+from .common import Scratch, by_key, components, groups_of, join_by_key, lean, table
 from .golay import BITS, ball, index_table
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -65,7 +65,7 @@ def fingerprints(df: DataFrame, text: str, keep: list[str], k: int = SHINGLE, ou
             fp = np.array([fingerprint(shingle_hashes((t or b"").lower().split(), k)) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(fp)], names=[*keep, out])
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, f"{kinds}, `{out}` bigint")
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(lean(run), f"{kinds}, `{out}` bigint")
 
 
 def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,7 +181,7 @@ def fuzzy_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
                 x, y = forest(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
 
-    filed = fps.select("fp").mapInArrow(file, "key bigint, role tinyint, fp bigint")
+    filed = fps.select("fp").mapInArrow(lean(file), "key bigint, role tinyint, fp bigint")
     return by_key(filed, ["key"], ["role"], meet, "a bigint, b bigint")
 
 
