@@ -108,10 +108,17 @@ def lay_out(ids: np.ndarray, lengths: np.ndarray, vocab: Vocabulary, end_id: int
     return cur, prev, tgt.reshape(-1, BLOCK), off // BLOCK
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(-1, keepdims=True)
+#: exponents whose sizes are below this need no maximum taken off
+_BOUND = 60
+
+
+def _softmax(x: np.ndarray, bounded: bool) -> np.ndarray:
+    """In place; ``bounded``: a row's largest number is within ``_BOUND`` of zero, or the row is all far below
+    and gets zeros."""
+    if not bounded:
+        x -= x.max(-1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(-1, keepdims=True)
+    x *= (1 / np.maximum(x @ np.ones(x.shape[-1], x.dtype), 1e-30))[..., None]
     return x
 
 
@@ -187,42 +194,56 @@ class Trainer:
 
     def step(self, cur: np.ndarray, prev: np.ndarray, tgt: np.ndarray) -> float:
         p, scale = self.p, np.float32(DIM**-0.5)
+        flat = lambda y: y.reshape(-1, y.shape[-1])
         rows = np.concatenate([prev, cur], axis=1)
-        x = p["emb"][rows]
-        xc = x[:, BLOCK:]
-        q, k, v = xc @ p["wq"] * scale, x @ p["wk"], x @ p["wv"]
-        a = q @ k.transpose(0, 2, 1) + p["rel"][_AT] + _CAUSAL
-        a += np.where(rows == self.vocab.pad, _FAR, np.float32(0))[:, None, :]
-        a = _softmax(a)
-        h = (xc + a @ v).reshape(-1, DIM)
-        z = np.tanh(h @ p["w1"] + p["b1"])
-        prob = _softmax(z @ p["wo"] + p["bo"])
+        x = p["emb"].take(rows, axis=0)
+        xc = np.ascontiguousarray(x[:, BLOCK:])
+        q, k, v = (flat(xc) @ p["wq"] * scale).reshape(xc.shape), (flat(x) @ p["wk"]).reshape(x.shape), (flat(x) @ p["wv"]).reshape(x.shape)
+        pad = rows == self.vocab.pad
+        a = q @ k.transpose(0, 2, 1)
+        a += p["rel"][_AT] + _CAUSAL
+        a += np.where(pad, _FAR, np.float32(0))[:, None, :]
+        self_ = a.reshape(len(a), -1)[:, BLOCK :: 2 * BLOCK + 1][~pad[:, BLOCK:]]  # a token sees itself, so its row's largest is no less
+        a = _softmax(a, a.max() < _BOUND and self_.min(initial=0) > -_BOUND)
+        h = flat(xc + a @ v)
+        z = h @ p["w1"]
+        z += p["b1"]
+        np.tanh(z, out=z)
+        prob = z @ p["wo"]
+        prob += p["bo"]
+        if np.abs(p["wo"]).sum(0).max() + np.abs(p["bo"]).max() >= _BOUND:
+            prob -= prob.max(1, keepdims=True)
         t = tgt.ravel()
         ok = t >= 0
         n = max(1, int(ok.sum()))
         cls = self.vocab.cls[t]
         at = np.arange(len(t))
-        loss = -float(np.log(prob[at, cls][ok] + 1e-12).sum()) / n
-        prob[at, cls] -= 1
-        prob *= (ok / n).astype(np.float32)[:, None]
+        chosen = prob[at, cls]
+        np.exp(prob, out=prob)
+        total = prob @ np.ones(CLASSES, prob.dtype)
+        loss = -float((chosen - np.log(total))[ok].sum(dtype=np.float64)) / n
+        weight = (ok / n).astype(prob.dtype)
+        prob *= (weight / total)[:, None]
+        prob[at, cls] -= weight
         grad = np.zeros_like(self.flat)
         g = views(grad, self.vocab.rows)
-        g["wo"][:], g["bo"][:] = z.T @ prob, prob.sum(0)
+        g["wo"][:], g["bo"][:] = z.T @ prob, np.ones(len(t), prob.dtype) @ prob
         dz = prob @ p["wo"].T * (1 - z * z)
         g["w1"][:], g["b1"][:] = h.T @ dz, dz.sum(0)
         dh = (dz @ p["w1"].T).reshape(xc.shape)
         da = dh @ v.transpose(0, 2, 1)
         dv = a.transpose(0, 2, 1) @ dh
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
+        da -= ((da * a) @ np.ones(2 * BLOCK, a.dtype))[..., None]
+        ds = da
+        ds *= a
         g["rel"][:] = np.bincount(_AT.ravel(), (ds.sum(0) * (_DIST >= 0)).ravel(), minlength=2 * BLOCK)
-        dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q
-        flat = lambda y: y.reshape(-1, DIM)
+        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        dq *= scale
         g["wq"][:], g["wk"][:], g["wv"][:] = flat(xc).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = dk @ p["wk"].T + dv @ p["wv"].T
-        dx[:, BLOCK:] += dh + dq @ p["wq"].T
-        dx, at = flat(dx), rows.ravel()
-        for j in range(DIM):
-            g["emb"][:, j] = np.bincount(at, dx[:, j], minlength=self.vocab.rows)
+        dx = (flat(dk) @ p["wk"].T + flat(dv) @ p["wv"].T).reshape(x.shape)
+        dx[:, BLOCK:] += dh + (flat(dq) @ p["wq"].T).reshape(xc.shape)
+        at = (rows.reshape(-1, 1).astype(np.int64) * DIM + np.arange(DIM)).ravel()
+        g["emb"][:] = np.bincount(at, dx.ravel(), minlength=self.vocab.rows * DIM).reshape(-1, DIM)
         g["emb"][self.vocab.pad] = 0
         self.t += 1
         self.tokens += n

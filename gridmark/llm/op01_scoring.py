@@ -1,9 +1,10 @@
 """Language-model scoring: a word-count baseline and a causal self-attention model on subword ids.
 
 Fitting reads all training texts: one pass counts words and, within them, subword pairs (partial counts
-of every task meet in a shuffle), then each training round lets every task train a copy of the model on its
-share of the texts, whole, and averages the copies by their tokens; each text is trained on in one of the
-rounds. Copies are averaged by bucket of tasks and then over buckets. What is gathered grows with the input; what is collected is bounded by the subword vocabulary and the model's size.
+of every task meet in a shuffle), then each training round deals its texts, whole, to tasks, lets every task
+train a copy of the model on its share, and averages the copies by their tokens; each text is trained on in one
+of the rounds. Number of words, ids and texts alone say how many copies there are, what each trains on and in
+which order, so the model does not depend on how files are split. Copies are averaged by bucket and then over buckets. What is gathered grows with the input; what is collected is bounded by the subword vocabulary and the model's size.
 
 Scoring is one pass. Frequent words (at most ``HOT`` of them, by a threshold on counts) are broadcast;
 the counts of all other words are joined to the texts' remaining words in a shuffle.
@@ -33,6 +34,8 @@ BUCKETS = 16
 EVERY, ROUNDS = 2, 2
 #: blocks of a training step; texts wait until there are WAIT bytes of them
 STEP, WAIT = 128, 200_000
+#: words that a copy of the model is trained on in all rounds, about
+SHARE = 1 << 21
 #: numbers of the model that are averaged together; buckets of tasks that are averaged first
 _SLICE, COPIES = 4096, 1024
 #: the key of a text's end; words have the XXH64 of their bytes
@@ -103,6 +106,14 @@ def _count(path: str):
     return run
 
 
+def _dealt(docs: DataFrame, part: int, copies: int) -> DataFrame:
+    """The texts ``(id as string, text)`` of a round: a partition for each copy, dealt by and in order of id and text."""
+    name = F.coalesce(F.col("id").cast("string"), F.lit("None"))
+    mine = docs.select(name.alias("id"), "text").filter(F.crc32(F.col("id").cast("binary")) % EVERY == part * (EVERY // ROUNDS) % EVERY)
+    copy = F.pmod(F.xxhash64("id", "text", F.lit(part)), F.lit(copies)).cast("int")
+    return mine.repartitionById(copies, copy).sortWithinPartitions("id", F.xxhash64("text"))
+
+
 def _train(shared: Broadcast, path: str, part: int):
     def run(batches):
         one_thread()
@@ -177,9 +188,10 @@ def fit(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str = "text
     of[pairs.column("key").to_numpy()] = pairs.column("n").to_numpy()
     vocab = Vocabulary(of.reshape(-1, BUCKETS))
     flat = start(vocab)
+    n_copies = max(1, -(-sum(r.n for r in levels) // SHARE))
     for r in range(ROUNDS):
         shared = spark.sparkContext.broadcast({"vocab": vocab, "flat": flat})
-        copies = docs.mapInArrow(_train(shared, path, r), "slice bigint, bucket bigint, n bigint, w binary")
+        copies = _dealt(docs, r, n_copies).mapInArrow(_train(shared, path, r), "slice bigint, bucket bigint, n bigint, w binary")
         for keys in (["slice", "bucket"], ["slice"]):
             copies = by_key(copies, keys, [], _mean(keys), "slice bigint, n bigint, w binary", keep=True)
         means = copies.collect()  # the model's size

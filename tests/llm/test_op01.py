@@ -175,3 +175,24 @@ def test_means_by_bucket_equal_the_mean_of_all(spark):
         own = [(x[2], np.frombuffer(x[3], np.float32)) for x in rows if x[0] == r.slice]
         assert r.n == sum(n for n, _ in own)
         assert np.allclose(np.frombuffer(r.w, np.float32), sum(n * w for n, w in own) / r.n, atol=1e-5)
+
+
+def test_every_partitioning_gives_the_same_model(spark, monkeypatch):
+    """What a copy is trained on, and in which order, follows from ids and texts: with one copy and with several."""
+    rng = np.random.default_rng(14)
+    rows = [(i if i % 50 else None, " ".join(f"w{int(x)}" for x in rng.integers(0, 90, n))) for i, n in enumerate(rng.integers(0, 200, 300))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for share in (op.SHARE, 9000):
+        monkeypatch.setattr(op, "SHARE", share)
+        flat = [op.fit(df.repartition(n, "text").sortWithinPartitions("text", ascending=n > 3), Scratch(spark)).shared.value["flat"] for n in (1, 3, 5)]
+        for other in flat[1:]:
+            assert np.allclose(flat[0], other, atol=1e-5), share
+
+
+def test_all_texts_are_dealt_to_rounds_and_copies(spark):
+    rows = [(None, "x"), (None, None), *((i, f"text {i}") for i in range(500)), (3, "text 3")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    got = [(r.id, r.text, part, r.copy) for part in range(op.ROUNDS) for r in op._dealt(df, part, 4).selectExpr("id", "text", "spark_partition_id() as copy").collect()]
+    assert sorted(map(str, (g[:2] for g in got))) == sorted(str((str(i), t)) for i, t in rows)
+    assert all(zlib.crc32(str(i).encode()) % op.EVERY == part * (op.EVERY // op.ROUNDS) % op.EVERY for i, _, part, _ in got)
+    assert {c for *_, c in got} == set(range(4))
