@@ -24,12 +24,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .attention import BLOCK, Scorer, Trainer, Vocabulary, lay_out, start
-from .bpe import default_path, encoder
-from .common import Scratch, by_key, groups_of, one_thread, table
+from .bpe import WordEncoder, default_path, encoder
+from .common import Scratch, by_key, groups_of, lean, one_thread, slices, table
 
 #: words whose counts may be broadcast: 16 bytes each
 HOT = 1 << 19
 BUCKETS = 16
+#: pieces of words in the young half of a worker's encoder
+PIECES = 150_000
 #: of the texts, one of EVERY is trained on, whole, in each of ROUNDS rounds: all of them where both are the same
 EVERY, ROUNDS = 2, 2
 #: blocks of a training step; texts wait until there are WAIT bytes of them
@@ -46,6 +48,10 @@ def word_key(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
+def _encoder(path: str) -> WordEncoder:
+    return encoder(path, PIECES)
+
+
 def held_out(id: str) -> Column:
     """Remainder 2 of crc32(id as text) by 7; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary")) % 7 == 2
@@ -69,7 +75,7 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
 
 def _count(path: str):
     def run(batches):
-        enc = encoder(path)
+        enc = _encoder(path)
         end = np.uint32(enc.tok.token_to_id("<|endoftext|>") or 0).tobytes()
         words: Counter = Counter()
         ends = 0
@@ -90,7 +96,7 @@ def _count(path: str):
                 pairs += np.bincount((flat * BUCKETS + before)[~first], times[~first], minlength=len(pairs))
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int8)), pa.array(keys), pa.array(n)], names=["kind", "key", "n"])
 
-        for b in batches:
+        for b in slices(batches):
             for text in _texts(b, "text"):
                 words.update(text.lower().split())
                 ends += 1
@@ -117,7 +123,7 @@ def _dealt(docs: DataFrame, part: int, copies: int) -> DataFrame:
 def _train(shared: Broadcast, path: str, part: int):
     def run(batches):
         one_thread()
-        enc = encoder(path)
+        enc = _encoder(path)
         end = enc.tok.token_to_id("<|endoftext|>") or 0
         vocab, flat = shared.value["vocab"], shared.value["flat"]
         trainer = Trainer(flat, vocab)
@@ -131,7 +137,7 @@ def _train(shared: Broadcast, path: str, part: int):
                 trainer.step(cur[a : a + STEP], prev[a : a + STEP], tgt[a : a + STEP])
             waiting.clear()
 
-        for b in batches:
+        for b in slices(batches):
             for doc, text in zip(b.column(b.schema.get_field_index("id")).to_pylist(), _texts(b, "text"), strict=True):
                 if zlib.crc32(str(doc).encode()) % EVERY != part * (EVERY // ROUNDS) % EVERY:
                     continue
@@ -168,7 +174,7 @@ def fit(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str = "text
     """Fits on all rows of ``docs``. Null texts are empty ones (an end each)."""
     spark, path = docs.sparkSession, path or default_path()
     docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    parts = docs.select("text").mapInArrow(_count(path), "kind tinyint, key bigint, n bigint")
+    parts = docs.select("text").mapInArrow(lean(_count(path), keep=True), "kind tinyint, key bigint, n bigint")
     stats = scratch.write(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     counts = stats.filter("kind = 0").select("key", "n")
     level = F.floor(F.log2("n") * 4).cast("int")  # a few hundred levels at most
@@ -184,14 +190,14 @@ def fit(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str = "text
     order = np.argsort(key)
     # at most one row for each subword id and bucket
     pairs = stats.filter("kind = 1").select("key", "n").toArrow()
-    of = np.zeros(len(encoder(path).names) * BUCKETS)
+    of = np.zeros(len(_encoder(path).names) * BUCKETS)
     of[pairs.column("key").to_numpy()] = pairs.column("n").to_numpy()
     vocab = Vocabulary(of.reshape(-1, BUCKETS))
     flat = start(vocab)
     n_copies = max(1, -(-sum(r.n for r in levels) // SHARE))
     for r in range(ROUNDS):
         shared = spark.sparkContext.broadcast({"vocab": vocab, "flat": flat})
-        copies = _dealt(docs, r, n_copies).mapInArrow(_train(shared, path, r), "slice bigint, bucket bigint, n bigint, w binary")
+        copies = _dealt(docs, r, n_copies).mapInArrow(lean(_train(shared, path, r), keep=True), "slice bigint, bucket bigint, n bigint, w binary")
         for keys in (["slice", "bucket"], ["slice"]):
             copies = by_key(copies, keys, [], _mean(keys), "slice bigint, n bigint, w binary", keep=True)
         means = copies.collect()  # the model's size
@@ -216,64 +222,64 @@ class _Codes(dict):
 
 
 class _Words:
-    """Of words by number: log10(count + 1) (NaN: not a frequent word), key, ids as ``flat[at : at + size]``.
+    """Of words: log10(count + 1) (NaN: not a frequent word), key and ids.
 
-    Frequent words are remembered for all tasks of a worker, so at most ``HOT`` of them; all others
-    only for the texts at hand.
+    The ids of frequent words, at most ``HOT``, are remembered for all tasks of a worker, in arrays beside
+    their keys; words themselves, and what is known of all others, only for the texts at hand.
     """
 
     def __init__(self, hot: np.ndarray, n_hot: np.ndarray, enc):
-        self.hot, self.n_hot, self.enc, self.known = hot, n_hot, enc, _Codes()
-        self.value, self.key, self.size, self.flat = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.hot, self.enc, self.value = hot, enc, np.log10(n_hot + 1.0)
+        # ids of a frequent word: flat[at : at + size]; at is negative until it came
+        self.at, self.size, self.flat = np.full(len(hot), -1, np.int64), np.zeros(len(hot), np.int64), np.zeros(0, np.uint32)
 
-    def look(self, keys: np.ndarray) -> np.ndarray:
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether these are frequent, and where among the frequent ones."""
         if not len(self.hot):
-            return np.full(len(keys), np.nan)
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
         at = np.minimum(np.searchsorted(self.hot, keys), len(self.hot) - 1)
-        return np.where(self.hot[at] == keys, np.log10(self.n_hot[at] + 1.0), np.nan)
+        return self.hot[at] == keys, at
+
+    def look(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), np.nan)
+        often, where = self.find(keys)
+        out[often] = self.value[where[often]]
+        return out
 
     def read(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
         """(value, key, number of ids) of each word, and all their ids in order."""
-        known = self.known
+        known = _Codes()
         code = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        new, known.new = known.new, []
-        value, key, size, flat = self.value, self.key, self.size, self.flat
-        if new:
-            keys = np.fromiter(map(word_key, new), np.int64, len(new))
-            own = self.enc.encode(new)
-            own_size = np.fromiter(map(len, own), np.int64, len(new)) // 4
-            own_value, own_flat = self.look(keys), np.frombuffer(b"".join(own), "<u4")
-            value, key = np.concatenate([value, own_value]), np.concatenate([key, keys])
-            size, flat = np.concatenate([size, own_size]), np.concatenate([flat, own_flat])
+        key = np.fromiter(map(word_key, known.new), np.int64, len(known.new))
+        often, where = self.find(key)
+        value, at, size = np.full(len(key), np.nan), np.full(len(key), -1, np.int64), np.zeros(len(key), np.int64)
+        value[often], at[often], size[often] = self.value[where[often]], self.at[where[often]], self.size[where[often]]
+        # frequent words first, so that theirs are the ids that stay
+        new = np.flatnonzero(at < 0)
+        new = new[np.argsort(~often[new], kind="stable")]
+        own = self.enc.encode([known.new[i] for i in new.tolist()])
+        size[new] = np.fromiter(map(len, own), np.int64, len(new)) // 4
+        at[new] = len(self.flat) + np.cumsum(size[new]) - size[new]
+        flat = np.concatenate([self.flat, np.frombuffer(b"".join(own), "<u4")])
+        stay = new[often[new]]
+        self.at[where[stay]], self.size[where[stay]] = at[stay], size[stay]
+        if len(stay):
+            self.flat = flat[: len(self.flat) + int(size[stay].sum())].copy()
         n = size[code]
-        at = np.cumsum(size) - size
         ids = flat[np.arange(int(n.sum())) + np.repeat(at[code] - (np.cumsum(n) - n), n)] if len(code) else flat[:0]
-        out = value[code], key[code], n, ids
-        if new:
-            keep = ~np.isnan(own_value)
-            if keep.all():
-                self.value, self.key, self.size, self.flat = value, key, size, flat
-            else:
-                for w in new:
-                    del known[w]
-                for w in [w for w, k in zip(new, keep.tolist(), strict=True) if k]:
-                    dict.__setitem__(known, w, len(known))
-                self.value, self.key = np.concatenate([self.value, own_value[keep]]), np.concatenate([self.key, keys[keep]])
-                self.size = np.concatenate([self.size, own_size[keep]])
-                self.flat = np.concatenate([self.flat, own_flat[np.repeat(keep, own_size)]])
-        return out
+        return value[code], key[code], n, ids
 
 
 def _score(shared: Broadcast, path: str, names: list[str]):
     def run(batches):
         one_thread()
-        m, enc = shared.value, encoder(path)
+        m, enc = shared.value, _encoder(path)
         vocab, hot, n_hot = m["vocab"], m["key"], m["n"]
         scorer = Scorer(m["flat"], vocab)
         end_id = enc.tok.token_to_id("<|endoftext|>") or 0
         seen = m.setdefault("words", _Words(hot, n_hot, enc))
         end_value, uid = seen.look(np.array([END_KEY]))[0], TaskContext.get().partitionId() << 36
-        for b in batches:
+        for b in slices(batches):
             texts, doc = _texts(b, "text"), b.column(b.schema.get_field_index("id"))
             out = b.column(b.schema.get_field_index("held_out"))
             at = 0
@@ -321,7 +327,7 @@ def score(docs: DataFrame, model: Model, scratch: Scratch, out: Column, id: str
     rows = docs.select(F.col(id).alias("id"), out.alias("held_out"), F.col(text).alias("text"))
     kind = docs.schema[id].dataType.simpleString()
     names = ["uid", "id", "held_out", "n_tokens", "n_hot", "hot_sum", "score", "rare"]
-    rows = scratch.write(rows.mapInArrow(_score(model.shared, model.path, names), f"uid bigint, id {kind}, held_out boolean, n_tokens bigint, n_hot bigint, hot_sum double, score double, rare array<bigint>"))
+    rows = scratch.write(rows.mapInArrow(lean(_score(model.shared, model.path, names), keep=True), f"uid bigint, id {kind}, held_out boolean, n_tokens bigint, n_hot bigint, hot_sum double, score double, rare array<bigint>"))
     rare = rows.select("uid", F.explode("rare").alias("key")).join(model.counts.filter(F.col("n") < model.hot_from), "key")
     rare = rare.groupBy("uid").agg(F.count(F.lit(1)).alias("n_rare"), F.sum(F.log10(F.col("n") + 1)).alias("rare_sum"))
     all_ = F.lit(float(np.log10(model.tokens + model.distinct + 1.0)))

@@ -196,3 +196,22 @@ def test_all_texts_are_dealt_to_rounds_and_copies(spark):
     assert sorted(map(str, (g[:2] for g in got))) == sorted(str((str(i), t)) for i, t in rows)
     assert all(zlib.crc32(str(i).encode()) % op.EVERY == part * (op.EVERY // op.ROUNDS) % op.EVERY for i, _, part, _ in got)
     assert {c for *_, c in got} == set(range(4))
+
+
+def test_workers_remember_ids_of_frequent_words_and_few_pieces():
+    """What a worker keeps between tasks is bounded by the frequent words' ids and a small cache of pieces, and results are as if it kept nothing."""
+    path = op.default_path()
+    words = [f"word{i}é" if i % 3 else f"w{i}" for i in range(900)]
+    often = np.array(sorted(map(op.word_key, (w.encode() for w in words[:300]))))
+    enc = op._encoder(path)
+    assert enc.most <= 150_000
+    seen = op._Words(often, np.arange(300), enc)
+    for part in (words[:600], words[200:], words[::-1], []):
+        part = [w.encode() for w in part for _ in range(2)]
+        value, key, n, ids = seen.read(part)
+        want = [np.frombuffer(x, "<u4").tolist() for x in enc.encode(part)]
+        assert np.split(ids, np.cumsum(n)[:-1])[0].tolist() == (want[0] if want else [])
+        assert ids.tolist() == sum(want, []) and n.tolist() == list(map(len, want)) and key.tolist() == list(map(op.word_key, part))
+        assert [None if np.isnan(v) else v for v in value] == [math.log10(np.searchsorted(often, k) + 1) if k in often else None for k in key.tolist()]
+    held = [x for x in vars(seen).values() if isinstance(x, dict | list | set)]
+    assert not held and len(seen.flat) == sum(len(x) // 4 for x in enc.encode([w.encode() for w in words[:300]]))
