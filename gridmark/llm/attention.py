@@ -108,6 +108,8 @@ def lay_out(ids: np.ndarray, lengths: np.ndarray, vocab: Vocabulary, end_id: int
     return cur, prev, tgt.reshape(-1, BLOCK), off // BLOCK
 
 
+#: blocks that are scored at once
+_SCORED = 128
 #: exponents whose sizes are below this need no maximum taken off
 _BOUND = 60
 
@@ -122,6 +124,22 @@ def _softmax(x: np.ndarray, bounded: bool) -> np.ndarray:
     return x
 
 
+def _hidden(h: np.ndarray, p: dict[str, np.ndarray], z1: np.ndarray | None = None) -> np.ndarray:
+    """The hidden units of places, and a one, which brings the classes' own numbers into ``_output``'s products."""
+    z1 = np.empty((len(h), HIDDEN + 1), h.dtype) if z1 is None else z1[: len(h)]
+    z = z1[:, :HIDDEN]
+    np.matmul(h, p["w1"], out=z)
+    z += p["b1"]
+    np.tanh(z, out=z)
+    z1[:, HIDDEN] = 1
+    return z1
+
+
+def _output(flat: np.ndarray) -> np.ndarray:
+    """``wo`` with ``bo`` below it: they stand last among the parameters."""
+    return flat[-(HIDDEN + 1) * CLASSES :].reshape(HIDDEN + 1, CLASSES)
+
+
 class Scorer:
     """log10 probabilities by blocks; projections are looked up by input row.
 
@@ -131,7 +149,7 @@ class Scorer:
 
     def __init__(self, flat: np.ndarray, vocab: Vocabulary):
         p = views(flat, vocab.rows)
-        self.p, self.vocab = p, vocab
+        self.p, self.vocab, self.out = p, vocab, _output(flat)
         q, k, v = p["emb"] @ p["wq"] * np.float32(DIM**-0.5), p["emb"] @ p["wk"], p["emb"] @ p["wv"]
         k[vocab.pad] = v[vocab.pad] = 0
         # values have a one beside them that sums the weights; pads have neither value nor one
@@ -139,7 +157,6 @@ class Scorer:
         v[vocab.pad] = 0
         self.q, self.k, self.v, self.e = (np.ascontiguousarray(x) for x in (q, k, v, p["emb"]))
         self.bias = (p["rel"][_AT] + _CAUSAL).astype(np.float32)
-        self.past, self.own = self.bias[:, :BLOCK], self.bias[:, BLOCK:]
         most = np.linalg.norm(q, axis=1).max() * np.linalg.norm(k, axis=1).max() + np.abs(p["rel"]).max()
         self.bounded = most < 40 and np.abs(p["wo"]).sum(0).max() + np.abs(p["bo"]).max() < 60
         self.ones = np.ones(CLASSES, np.float32)
@@ -147,33 +164,28 @@ class Scorer:
     def blocks(self, cur: np.ndarray, prev: np.ndarray, tgt: np.ndarray) -> np.ndarray:
         """Sum over each block of the log10 probabilities of its targets."""
         out = np.empty(len(cur))
-        k0, v0 = np.zeros((1, BLOCK, DIM), np.float32), np.zeros((1, BLOCK, DIM + 1), np.float32)
-        for a in range(0, len(cur), 128):
-            s = slice(a, a + 128)
+        k, v = np.zeros((_SCORED + 1, BLOCK, DIM), np.float32), np.zeros((_SCORED + 1, BLOCK, DIM + 1), np.float32)
+        z1, room = np.empty((_SCORED * BLOCK, HIDDEN + 1), np.float32), np.empty((_SCORED * BLOCK, CLASSES), np.float32)
+        # the keys of a block and of the one before it stand side by side: windows of the same memory
+        keys, values = (np.lib.stride_tricks.as_strided(y, (_SCORED, 2 * BLOCK, y.shape[2]), y.strides) for y in (k, v))
+        for a in range(0, len(cur), _SCORED):
+            s = slice(a, a + _SCORED)
             rows = cur[s]
+            n = len(rows)
             q, e = self.q.take(rows, axis=0), self.e.take(rows, axis=0)
-            k, v = np.concatenate([k0, self.k.take(rows, axis=0)]), np.concatenate([v0, self.v.take(rows, axis=0)])
-            k0, v0 = k[-1:].copy(), v[-1:].copy()
-            own = q @ k[1:].transpose(0, 2, 1)
-            own += self.own
-            past = q @ k[:-1].transpose(0, 2, 1)
-            past += self.past
-            past[prev[s, 0] == self.vocab.pad] = _FAR  # a text's first block
+            self.k.take(rows, axis=0, out=k[1 : n + 1], mode="clip")
+            self.v.take(rows, axis=0, out=v[1 : n + 1], mode="clip")
+            w = q @ keys[:n].transpose(0, 2, 1)
+            w += self.bias
+            w[prev[s, 0] == self.vocab.pad, :, :BLOCK] = _FAR  # a text's first block
             if not self.bounded:
-                top = np.maximum(past.max(-1, keepdims=True), own.max(-1, keepdims=True))
-                past -= top
-                own -= top
-            np.exp(past, out=past)
-            np.exp(own, out=own)
-            h = past @ v[:-1]
-            h += own @ v[1:]
+                w -= w.max(-1, keepdims=True)
+            np.exp(w, out=w)
+            h = w @ values[:n]
+            k[0], v[0] = k[n], v[n]
             h = h[:, :, :DIM] / np.maximum(h[:, :, DIM:], 1e-30)
             h += e
-            z = h.reshape(-1, DIM) @ self.p["w1"]
-            z += self.p["b1"]
-            np.tanh(z, out=z)
-            logits = z @ self.p["wo"]
-            logits += self.p["bo"]
+            logits = np.matmul(_hidden(h.reshape(-1, DIM), self.p, z1), self.out, out=room[: n * BLOCK])
             if not self.bounded:
                 logits -= logits.max(1, keepdims=True)
             t = tgt[s].ravel()
@@ -193,65 +205,82 @@ class Trainer:
         self.m, self.s, self.t, self.tokens = np.zeros_like(flat), np.zeros_like(flat), 0, 0
 
     def step(self, cur: np.ndarray, prev: np.ndarray, tgt: np.ndarray) -> float:
-        p, scale = self.p, np.float32(DIM**-0.5)
-        flat = lambda y: y.reshape(-1, y.shape[-1])
-        rows = np.concatenate([prev, cur], axis=1)
+        """A step on blocks that follow each other as ``lay_out`` lays them; returns the loss."""
+        p, scale, n = self.p, DIM**-0.5, len(cur)
+        rows = np.concatenate([prev[:1], cur]).ravel()
         x = p["emb"].take(rows, axis=0)
-        xc = np.ascontiguousarray(x[:, BLOCK:])
-        q, k, v = (flat(xc) @ p["wq"] * scale).reshape(xc.shape), (flat(x) @ p["wk"]).reshape(x.shape), (flat(x) @ p["wv"]).reshape(x.shape)
-        pad = rows == self.vocab.pad
+        xc = x[BLOCK:]
+        q, k, v = (xc @ p["wq"] * scale).reshape(n, BLOCK, DIM), x @ p["wk"], x @ p["wv"]
+        # the keys of a block and of the one before it stand side by side: windows of the same memory
+        k, v = (np.lib.stride_tricks.as_strided(y, (n, 2 * BLOCK, DIM), (BLOCK * y.strides[0], *y.strides)) for y in (k, v))
         a = q @ k.transpose(0, 2, 1)
         a += p["rel"][_AT] + _CAUSAL
-        a += np.where(pad, _FAR, np.float32(0))[:, None, :]
-        self_ = a.reshape(len(a), -1)[:, BLOCK :: 2 * BLOCK + 1][~pad[:, BLOCK:]]  # a token sees itself, so its row's largest is no less
-        a = _softmax(a, a.max() < _BOUND and self_.min(initial=0) > -_BOUND)
-        h = flat(xc + a @ v)
-        z = h @ p["w1"]
-        z += p["b1"]
-        np.tanh(z, out=z)
-        prob = z @ p["wo"]
-        prob += p["bo"]
+        a[prev[:, 0] == self.vocab.pad, :, :BLOCK] = _FAR  # a text's first block; pads in a block come after all its tokens
+        self_ = a.reshape(n, -1)[:, BLOCK :: 2 * BLOCK + 1]  # a token sees itself, so its row's largest is no less
+        a = _softmax(a, a.max() < _BOUND and self_.min() > -_BOUND)
+        h = (a @ v).reshape(-1, DIM)
+        h += xc
+        z1 = _hidden(h, p)
+        z, out = z1[:, :HIDDEN], _output(self.flat)
+        prob = z1 @ out
         if np.abs(p["wo"]).sum(0).max() + np.abs(p["bo"]).max() >= _BOUND:
             prob -= prob.max(1, keepdims=True)
         t = tgt.ravel()
         ok = t >= 0
-        n = max(1, int(ok.sum()))
-        cls = self.vocab.cls[t]
-        at = np.arange(len(t))
-        chosen = prob[at, cls]
+        m = max(1, int(ok.sum()))
+        at = np.arange(0, prob.size, CLASSES) + self.vocab.cls[t]
+        chosen = prob.ravel()[at]
         np.exp(prob, out=prob)
         total = prob @ np.ones(CLASSES, prob.dtype)
-        loss = -float((chosen - np.log(total))[ok].sum(dtype=np.float64)) / n
-        weight = (ok / n).astype(prob.dtype)
-        prob *= (weight / total)[:, None]
-        prob[at, cls] -= weight
+        loss = -float((chosen - np.log(total))[ok].sum(dtype=np.float64)) / m
+        # the classes' gradient is this times ``weight``, which goes to the narrower sides of the products
+        prob.ravel()[at] -= total
+        weight = (ok / m).astype(prob.dtype) / total
         grad = np.zeros_like(self.flat)
         g = views(grad, self.vocab.rows)
-        g["wo"][:], g["bo"][:] = z.T @ prob, np.ones(len(t), prob.dtype) @ prob
-        dz = prob @ p["wo"].T * (1 - z * z)
+        np.matmul((z1 * weight[:, None]).T, prob, out=_output(grad))
+        dz = prob @ p["wo"].T
+        dz *= weight[:, None]
+        dz *= 1 - z * z
         g["w1"][:], g["b1"][:] = h.T @ dz, dz.sum(0)
-        dh = (dz @ p["w1"].T).reshape(xc.shape)
-        da = dh @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ dh
-        da -= ((da * a) @ np.ones(2 * BLOCK, a.dtype))[..., None]
-        ds = da
+        dh = dz @ p["w1"].T
+        dh_ = dh.reshape(n, BLOCK, DIM)
+        ds = dh_ @ v.transpose(0, 2, 1)
+        ds -= ((ds * a) @ np.ones(2 * BLOCK, a.dtype))[..., None]
         ds *= a
         g["rel"][:] = np.bincount(_AT.ravel(), (ds.sum(0) * (_DIST >= 0)).ravel(), minlength=2 * BLOCK)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        dq = (ds @ k).reshape(-1, DIM)
         dq *= scale
-        g["wq"][:], g["wk"][:], g["wv"][:] = flat(xc).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = (flat(dk) @ p["wk"].T + flat(dv) @ p["wv"].T).reshape(x.shape)
-        dx[:, BLOCK:] += dh + (flat(dq) @ p["wq"].T).reshape(xc.shape)
-        at = (rows.reshape(-1, 1).astype(np.int64) * DIM + np.arange(DIM)).ravel()
-        g["emb"][:] = np.bincount(at, dx.ravel(), minlength=self.vocab.rows * DIM).reshape(-1, DIM)
+        dk, dv = np.zeros((2, n + 1, BLOCK, DIM), h.dtype)
+        for of, both in ((dk, ds.transpose(0, 2, 1) @ q), (dv, a.transpose(0, 2, 1) @ dh_)):
+            of[:-1] = both[:, :BLOCK]
+            of[1:] += both[:, BLOCK:]
+        dk, dv = dk.reshape(-1, DIM), dv.reshape(-1, DIM)
+        g["wq"][:], g["wk"][:], g["wv"][:] = xc.T @ dq, x.T @ dk, x.T @ dv
+        dx = dk @ p["wk"].T
+        dx += dv @ p["wv"].T
+        dx[BLOCK:] += dh
+        dx[BLOCK:] += dq @ p["wq"].T
+        order = np.argsort(rows.astype(np.uint16), kind="stable")  # rows are fewer than 2^16
+        own = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        g["emb"][own[first]] = np.add.reduceat(dx[order], first, axis=0)
         g["emb"][self.vocab.pad] = 0
         self.t += 1
-        self.tokens += n
-        self.m += 0.1 * (grad - self.m)
-        self.s += 0.01 * (grad * grad - self.s)
+        self.tokens += m
+        by = grad - self.m
+        by *= 0.1
+        self.m += by
+        grad *= grad
+        grad -= self.s
+        grad *= 0.01
+        self.s += grad
         if not self.t % 50:  # numbers on their way to nothing are slow
             self.m[np.abs(self.m) < 1e-12] = 0
             self.s[self.s < 1e-24] = 0
-        rate = self.rate / (1 - 0.9**self.t) * np.sqrt(1 - 0.99**self.t)
-        self.flat -= (rate * self.m / (np.sqrt(self.s) + 1e-7)).astype(np.float32)
+        np.sqrt(self.s, out=by)
+        by += 1e-7
+        np.divide(self.m, by, out=by)
+        by *= self.rate / (1 - 0.9**self.t) * (1 - 0.99**self.t) ** 0.5
+        self.flat -= by
         return loss

@@ -42,7 +42,7 @@ class WordEncoder:
 
     def __init__(self, path: str, most: int = _PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
@@ -71,6 +71,12 @@ class WordEncoder:
         self.easy = re.compile(f"\x00|{split[: max(last, 0)]}|[{_LETTERS}]+|[{_DIGITS}]|[^\x00{_SPACE}{_LETTERS}{_DIGITS}]+") if self.by_word else None
         self.plain_decode = spec.get("decoder") is None
         self.names = [self.tok.id_to_token(i) or "" for i in range(max(self.tok.get_vocab().values()) + 1)] if self.plain_decode else []
+        # pieces may go to the model many in one text, parted at white space; their ids are told apart by their bytes
+        self.bare, end = None, spec.get("model", {}).get("end_of_word_suffix") or ""
+        if self.by_word and self.names and spec["model"].get("type") == "BPE":
+            self.bare = Tokenizer(self.tok.model)
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.bytes_of = np.array([len(x.removesuffix(end)) for x in self.names])
         self.most = most
         self.pieces: dict[str, bytes] = {}
         self.old_pieces: dict[str, bytes] = {}
@@ -81,6 +87,19 @@ class WordEncoder:
             return [array("I", e.ids).tobytes() for e in many]
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in many]
 
+    def _model(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces as ``_easy`` finds them, which need neither normalisation nor splitting."""
+        if self.bare is not None:
+            some = self.bare.encode_batch_fast(["\n".join(pieces[at : at + 500]) for at in range(0, len(pieces), 500)], add_special_tokens=False)
+            ids = np.concatenate([np.asarray(e.ids, "<u4") for e in some])
+            at = np.concatenate([[0], np.cumsum(self.bytes_of[ids])])
+            ends = np.cumsum([0, *(len(p.encode()) for p in pieces)])
+            cut = np.searchsorted(at, ends)
+            if at[-1] == ends[-1] and (at[cut] == ends).all() and (self.bytes_of[ids] > 0).all():
+                flat, cut = ids.tobytes(), (4 * cut).tolist()
+                return [flat[a:z] for a, z in zip(cut, cut[1:])]
+        return self._library(pieces)
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text."""
         if not self.by_word:
@@ -120,7 +139,7 @@ class WordEncoder:
         of.update(zip(again, map(self.old_pieces.__getitem__, again), strict=True))
         missing = list(missing.difference(again))
         if missing:
-            of.update(zip(missing, self._library(missing), strict=True))
+            of.update(zip(missing, self._model(missing), strict=True))
         return b"".join(map(of.__getitem__, found)).split(_MARK)
 
     def decode(self, ids: bytes) -> str:

@@ -1,19 +1,20 @@
 """Language-model scoring: a word-count baseline and a causal self-attention model on subword ids.
 
-Fitting reads all training texts: one pass counts words and, within them, subword pairs (partial counts
-of every task meet in a shuffle), then each training round deals its texts, whole, to tasks, lets every task
+Texts are read once: a pass writes every text's word keys and subword ids to the shared folder and counts, of
+training texts, words and, within them, subword pairs (partial counts of every task meet in a shuffle). Then each
+training round deals its texts, whole, to tasks, lets every task
 train a copy of the model on its share, and averages the copies by their tokens; each text is trained on in one
 of the rounds. Number of words, ids and texts alone say how many copies there are, what each trains on and in
 which order, so the model does not depend on how files are split. Copies are averaged by bucket and then over buckets. What is gathered grows with the input; what is collected is bounded by the subword vocabulary and the model's size.
 
-Scoring is one pass. Frequent words (at most ``HOT`` of them, by a threshold on counts) are broadcast;
+Scoring is one pass over keys and ids. Frequent words (at most ``HOT`` of them, by a threshold on counts) are broadcast;
 the counts of all other words are joined to the texts' remaining words in a shuffle.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,8 @@ import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, ByteType, LongType, StructField, StructType
 
 from .attention import BLOCK, Scorer, Trainer, Vocabulary, lay_out, start
 from .bpe import WordEncoder, default_path, encoder
@@ -36,6 +39,8 @@ PIECES = 150_000
 EVERY, ROUNDS = 2, 2
 #: blocks of a training step; texts wait until there are WAIT bytes of them
 STEP, WAIT = 128, 200_000
+#: bytes of texts that are read at once, and scored at once
+READ, PART = 4_000_000, 1_500_000
 #: words that a copy of the model is trained on in all rounds, about
 SHARE = 1 << 21
 #: numbers of the model that are averaged together; buckets of tasks that are averaged first
@@ -73,51 +78,100 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [t or b"" for t in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
 
 
-def _count(path: str):
+def _kind(enc: WordEncoder) -> str:
+    """How ids are written: in two bytes where that holds them all."""
+    return "<u2" if 0 < len(enc.names) <= 1 << 16 else "<u4"
+
+
+def _read(path: str, schema: pa.Schema):
+    """Rows of kind 2, a text's keys and ids, and of kinds 0 and 1, the counts of words and of pairs in training texts."""
+
     def run(batches):
         enc = _encoder(path)
-        end = np.uint32(enc.tok.token_to_id("<|endoftext|>") or 0).tobytes()
-        words: Counter = Counter()
-        ends = 0
-        pairs = np.zeros(len(enc.names) * BUCKETS)
-
-        def rows():
-            nonlocal pairs
-            own, n = list(words), np.fromiter(words.values(), np.int64, len(words))
-            keys = np.fromiter(map(word_key, own), np.int64, len(own))
-            words.clear()
-            for at in range(0, len(own), 100_000):
-                # subword pairs of the words, as often as the word came: an id and the one before it
-                ids = enc.encode(own[at : at + 100_000])
-                flat = np.frombuffer(b"".join([end + x for x in ids]), "<u4").astype(np.int64)
-                times = np.repeat(n[at : at + len(ids)], [len(x) // 4 + 1 for x in ids])
-                first = flat == int.from_bytes(end, "little")
-                before = np.concatenate([flat[:1], flat[:-1]]) * 2654435761 % 4294967296 * BUCKETS // 4294967296
-                pairs += np.bincount((flat * BUCKETS + before)[~first], times[~first], minlength=len(pairs))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int8)), pa.array(keys), pa.array(n)], names=["kind", "key", "n"])
+        kind, end = _kind(enc), enc.tok.token_to_id("<|endoftext|>") or 0
+        words = _Words(np.zeros(0, np.int64), np.zeros(0), enc)
+        pairs, ends, held, size = np.zeros(len(enc.names) * BUCKETS), 0, [], 0
+
+        def told(**columns) -> pa.RecordBatch:
+            """A batch of ``schema``; columns that are not given are null."""
+            arrays = {name: x if isinstance(x, pa.Array) else pa.array(x, schema.field(name).type) for name, x in columns.items()}
+            return pa.RecordBatch.from_arrays([arrays[f.name] if f.name in arrays else pa.nulls(len(arrays["kind"]), f.type) for f in schema], names=schema.names)
+
+        def counted(what: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return told(kind=np.full(len(key), what, np.int8), key=key, n=n)
+
+        def summed() -> pa.RecordBatch:
+            key, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+            held.clear()
+            return counted(0, key, n)
 
         for b in slices(batches):
-            for text in _texts(b, "text"):
-                words.update(text.lower().split())
-                ends += 1
-            if len(words) > 600_000:
-                yield from rows()
-        yield from rows()
+            texts, doc, out = (b.column(b.schema.get_field_index(c)) for c in ("text", "id", "held_out"))
+            texts, learn = _texts(b, "text"), ~out.to_numpy(zero_copy_only=False)
+            at = 0
+            while at < len(texts):
+                split, first, chars = [], at, 0
+                while at < len(texts) and chars < READ:
+                    split.append(texts[at].lower().split())
+                    chars += len(texts[at])
+                    at += 1
+                lengths = np.array([len(ws) for ws in split])
+                _, key, n, ids = words.read([w for ws in split for w in ws])
+                of_word, of_text = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(lengths)])
+                mine = np.repeat(learn[first:at], lengths)
+                held.append(np.unique(key[mine], return_counts=True))
+                size += len(held[-1][0])
+                ends += int(learn[first:at].sum())
+                # subword pairs of the words: an id and the one before it
+                before = np.concatenate([[end], ids[:-1]]).astype(np.int64)[: len(ids)]
+                before[of_word[:-1][n > 0]] = end
+                own = np.repeat(mine, n)
+                pairs += np.bincount(ids[own].astype(np.int64) * BUCKETS + before[own] * 2654435761 % 4294967296 * BUCKETS // 4294967296, minlength=len(pairs))
+                narrow, cut = ids.astype(kind), of_word[of_text]
+                yield told(
+                    kind=np.full(at - first, 2, np.int8), n=[len(t) for t in texts[first:at]], id=doc.slice(first, at - first), held_out=out.slice(first, at - first),
+                    keys=[key[a:z].tobytes() for a, z in zip(of_text, of_text[1:])], ids=[narrow[a:z].tobytes() for a, z in zip(cut, cut[1:])],
+                )
+                if size > 600_000:
+                    yield summed()
+                    size = 0
+        if held:
+            yield summed()
         at = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int8)), pa.array(at), pa.array(pairs[at].astype(np.int64))], names=["kind", "key", "n"])
+        yield counted(1, at, pairs[at].astype(np.int64))
         if ends:
-            last = int.from_bytes(end, "little") * BUCKETS
-            yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int8()), pa.array([END_KEY, last]), pa.array([ends, ends])], names=["kind", "key", "n"])
+            yield counted(0, np.array([END_KEY]), np.array([ends]))
+            yield counted(1, np.array([end * BUCKETS]), np.array([ends]))
 
     return run
 
 
-def _dealt(docs: DataFrame, part: int, copies: int) -> DataFrame:
-    """The texts ``(id as string, text)`` of a round: a partition for each copy, dealt by and in order of id and text."""
+@dataclass
+class Texts:
+    """``rows``: (id, held_out, n, keys, ids) of every text, n its bytes; ``stats``: counts (kind, key, n) of those not held out."""
+
+    rows: DataFrame
+    stats: DataFrame
+    path: str
+
+
+def read(docs: DataFrame, scratch: Scratch, out: Column, id: str = "doc_id", text: str = "text", path: str | None = None) -> Texts:
+    """Splits and encodes all rows of ``docs`` once, for ``fit`` and ``score``. Null texts are empty ones."""
+    path = path or default_path()
+    rows = docs.select(F.col(id).alias("id"), F.coalesce(out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
+    schema = StructType([StructField("kind", ByteType()), StructField("key", LongType()), StructField("n", LongType()), rows.schema["id"], rows.schema["held_out"], StructField("keys", BinaryType()), StructField("ids", BinaryType())])
+    schema = StructType([StructField(f.name, f.dataType) for f in schema])
+    found = scratch.write(rows.mapInArrow(lean(_read(path, to_arrow_schema(schema)), keep=True), schema))
+    return Texts(found.filter("kind = 2").select("id", "held_out", "n", "keys", "ids"), found.filter("kind < 2").select("kind", "key", "n"), path)
+
+
+def _dealt(docs: DataFrame, part: int, copies: int, text: str = "text") -> DataFrame:
+    """The texts of a round, their id as string: a partition for each copy, dealt by and in order of id and ``text``."""
     name = F.coalesce(F.col("id").cast("string"), F.lit("None"))
-    mine = docs.select(name.alias("id"), "text").filter(F.crc32(F.col("id").cast("binary")) % EVERY == part * (EVERY // ROUNDS) % EVERY)
-    copy = F.pmod(F.xxhash64("id", "text", F.lit(part)), F.lit(copies)).cast("int")
-    return mine.repartitionById(copies, copy).sortWithinPartitions("id", F.xxhash64("text"))
+    mine = docs.withColumn("id", name).filter(F.crc32(F.col("id").cast("binary")) % EVERY == part * (EVERY // ROUNDS) % EVERY)
+    copy = F.pmod(F.xxhash64("id", text, F.lit(part)), F.lit(copies)).cast("int")
+    return mine.repartitionById(copies, copy).sortWithinPartitions("id", F.xxhash64(text))
 
 
 def _train(shared: Broadcast, path: str, part: int):
@@ -127,22 +181,29 @@ def _train(shared: Broadcast, path: str, part: int):
         end = enc.tok.token_to_id("<|endoftext|>") or 0
         vocab, flat = shared.value["vocab"], shared.value["flat"]
         trainer = Trainer(flat, vocab)
-        waiting: list[bytes] = []
+        waiting: list[np.ndarray] = []
         size = 0
 
+        def of(b: pa.RecordBatch) -> tuple[list[np.ndarray], list[int]]:
+            """Ids and bytes of the texts, which have been read, or are here."""
+            if "ids" in b.schema.names:
+                return [np.frombuffer(x, _kind(enc)) for x in b.column(b.schema.get_field_index("ids")).to_pylist()], b.column(b.schema.get_field_index("n")).to_pylist()
+            texts = _texts(b, "text")
+            return [np.frombuffer(x, "<u4") for x in enc.encode([b" ".join(t.lower().split()) for t in texts])], list(map(len, texts))
+
         def learn() -> None:
-            ids = [np.frombuffer(x, "<u4") for x in enc.encode(waiting)]
+            ids = waiting
             cur, prev, tgt, _ = lay_out(np.concatenate(ids), np.array([len(x) for x in ids]), vocab, end)
             for a in range(0, len(cur), STEP):
                 trainer.step(cur[a : a + STEP], prev[a : a + STEP], tgt[a : a + STEP])
             waiting.clear()
 
         for b in slices(batches):
-            for doc, text in zip(b.column(b.schema.get_field_index("id")).to_pylist(), _texts(b, "text"), strict=True):
+            for doc, ids, n in zip(b.column(b.schema.get_field_index("id")).to_pylist(), *of(b), strict=True):
                 if zlib.crc32(str(doc).encode()) % EVERY != part * (EVERY // ROUNDS) % EVERY:
                     continue
-                waiting.append(b" ".join(text.lower().split()))
-                size += len(text)
+                waiting.append(ids)
+                size += n
                 if size >= WAIT:
                     learn()
                     size = 0
@@ -170,12 +231,13 @@ def _mean(keys: list[str]):
     return run
 
 
-def fit(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str = "text", path: str | None = None) -> Model:
-    """Fits on all rows of ``docs``. Null texts are empty ones (an end each)."""
-    spark, path = docs.sparkSession, path or default_path()
-    docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    parts = docs.select("text").mapInArrow(lean(_count(path), keep=True), "kind tinyint, key bigint, n bigint")
-    stats = scratch.write(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")))
+def fit(docs: DataFrame | Texts, scratch: Scratch, id: str = "doc_id", text: str = "text", path: str | None = None) -> Model:
+    """Fits on all rows of ``docs``, or on those texts read that are not held out. Null texts are empty ones (an end each)."""
+    if not isinstance(docs, Texts):
+        docs = read(docs, scratch, F.lit(False), id, text, path)
+    spark, path = docs.rows.sparkSession, docs.path
+    learn = docs.rows.filter(~F.col("held_out")).select("id", "n", "ids")
+    stats = scratch.write(docs.stats.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     counts = stats.filter("kind = 0").select("key", "n")
     level = F.floor(F.log2("n") * 4).cast("int")  # a few hundred levels at most
     levels = sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n"), F.min("n").alias("low")).collect(), reverse=True)
@@ -197,7 +259,7 @@ def fit(docs: DataFrame, scratch: Scratch, id: str = "doc_id", text: str = "text
     n_copies = max(1, -(-sum(r.n for r in levels) // SHARE))
     for r in range(ROUNDS):
         shared = spark.sparkContext.broadcast({"vocab": vocab, "flat": flat})
-        copies = _dealt(docs, r, n_copies).mapInArrow(lean(_train(shared, path, r), keep=True), "slice bigint, bucket bigint, n bigint, w binary")
+        copies = _dealt(learn, r, n_copies, "ids").mapInArrow(lean(_train(shared, path, r), keep=True), "slice bigint, bucket bigint, n bigint, w binary")
         for keys in (["slice", "bucket"], ["slice"]):
             copies = by_key(copies, keys, [], _mean(keys), "slice bigint, n bigint, w binary", keep=True)
         means = copies.collect()  # the model's size
@@ -229,7 +291,8 @@ class _Words:
     """
 
     def __init__(self, hot: np.ndarray, n_hot: np.ndarray, enc):
-        self.hot, self.enc, self.value = hot, enc, np.log10(n_hot + 1.0)
+        levels, level = np.unique(n_hot, return_inverse=True)
+        self.hot, self.enc, self.value = hot, enc, np.array([math.log10(x + 1) for x in levels.tolist()])[level]  # numpy's logarithms differ with the processor
         # ids of a frequent word: flat[at : at + size]; at is negative until it came
         self.at, self.size, self.flat = np.full(len(hot), -1, np.int64), np.zeros(len(hot), np.int64), np.zeros(0, np.uint32)
 
@@ -276,27 +339,26 @@ def _score(shared: Broadcast, path: str, names: list[str]):
         m, enc = shared.value, _encoder(path)
         vocab, hot, n_hot = m["vocab"], m["key"], m["n"]
         scorer = Scorer(m["flat"], vocab)
-        end_id = enc.tok.token_to_id("<|endoftext|>") or 0
+        end_id, kind = enc.tok.token_to_id("<|endoftext|>") or 0, _kind(enc)
         seen = m.setdefault("words", _Words(hot, n_hot, enc))
         end_value, uid = seen.look(np.array([END_KEY]))[0], TaskContext.get().partitionId() << 36
         for b in slices(batches):
-            texts, doc = _texts(b, "text"), b.column(b.schema.get_field_index("id"))
-            out = b.column(b.schema.get_field_index("held_out"))
+            doc, out, all_keys, all_ids, size = (b.column(b.schema.get_field_index(c)) for c in ("id", "held_out", "keys", "ids", "n"))
+            size = size.to_pylist()
             at = 0
-            while at < len(texts):
-                words, lengths, chars, first = [], [], 0, at
-                while at < len(texts) and chars < 1_500_000:
-                    ws = texts[at].lower().split()
-                    words += ws
-                    lengths.append(len(ws))
-                    chars += len(texts[at])
+            while at < len(size):
+                first, chars = at, 0
+                while at < len(size) and chars < PART:
+                    chars += size[at]
                     at += 1
-                v, key, n, flat = seen.read(words)
-                lengths = np.array(lengths, np.int64)
+                keys, ids = all_keys.slice(first, at - first).to_pylist(), all_ids.slice(first, at - first).to_pylist()
+                key, flat = np.frombuffer(b"".join(keys), np.int64), np.frombuffer(b"".join(ids), kind)
+                lengths = np.array([len(x) for x in keys], np.int64) // 8
+                n_ids = np.array([len(x) for x in ids], np.int64) // flat.itemsize
+                v = seen.look(key)
                 ends = np.cumsum(lengths)
                 cum = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])])  # noqa: E731,B023
                 rare = np.isnan(v)
-                n_ids = cum(n)
                 cur, prev, tgt, starts = lay_out(flat, n_ids, vocab, end_id)
                 logp = np.add.reduceat(scorer.blocks(cur, prev, tgt), starts)
                 n_rare = cum(rare) + np.isnan(end_value)
@@ -318,14 +380,14 @@ def _score(shared: Broadcast, path: str, names: list[str]):
     return run
 
 
-def score(docs: DataFrame, model: Model, scratch: Scratch, out: Column, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Scores all rows of ``docs``: (id, held_out, n_tokens, n_known, train_tokens, base_score, score).
+def score(docs: DataFrame | Texts, model: Model, scratch: Scratch, out: Column | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Scores all rows of ``docs``, or all texts read: (id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Words have ASCII capitals lowered and are split at ASCII white space; each text has one end,
     counted as a token. Null texts are empty. Repeated rows and null ids each get their row.
     """
-    rows = docs.select(F.col(id).alias("id"), out.alias("held_out"), F.col(text).alias("text"))
-    kind = docs.schema[id].dataType.simpleString()
+    rows = (docs if isinstance(docs, Texts) else read(docs, scratch, out, id, text, model.path)).rows
+    kind = rows.schema["id"].dataType.simpleString()
     names = ["uid", "id", "held_out", "n_tokens", "n_hot", "hot_sum", "score", "rare"]
     rows = scratch.write(rows.mapInArrow(lean(_score(model.shared, model.path, names), keep=True), f"uid bigint, id {kind}, held_out boolean, n_tokens bigint, n_hot bigint, hot_sum double, score double, rare array<bigint>"))
     rare = rows.select("uid", F.explode("rare").alias("key")).join(model.counts.filter(F.col("n") < model.hot_from), "key")
@@ -340,6 +402,6 @@ def score(docs: DataFrame, model: Model, scratch: Scratch, out: Column, id: str
 
 def op1_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores all ``documents``, learning from those that are not held out."""
-    docs, scratch = table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark)
-    model = fit(docs.filter(~held_out("doc_id")), scratch)
-    return score(docs, model, scratch, held_out("doc_id"))
+    scratch = Scratch(spark)
+    texts = read(table(spark, sf_dir, "documents"), scratch, held_out("doc_id"))
+    return score(texts, fit(texts, scratch), scratch)

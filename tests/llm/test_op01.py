@@ -215,3 +215,55 @@ def test_workers_remember_ids_of_frequent_words_and_few_pieces():
         assert [None if np.isnan(v) else v for v in value] == [math.log10(np.searchsorted(often, k) + 1) if k in often else None for k in key.tolist()]
     held = [x for x in vars(seen).values() if isinstance(x, dict | list | set)]
     assert not held and len(seen.flat) == sum(len(x) // 4 for x in enc.encode([w.encode() for w in words[:300]]))
+
+
+def test_texts_are_read_once_for_fitting_and_scoring(spark):
+    """What reading writes is all that training and scoring need: keys, ids and counts as of the texts, and the same copy of the model."""
+    texts = ["The cat  sat,\tété THE", None, "", " x　y &&& don't Žluť é", "w1 " * 3000, "the cat", *(f"w{i} cat{i}é.\n" * (i % 7) for i in range(80))]
+    df = spark.createDataFrame([(i if i != 5 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    read = op.read(df.repartition(2), Scratch(spark), op.held_out("doc_id"))
+    rows = {r.id: r for r in read.rows.collect()}
+    enc = op._encoder(op.default_path())
+    end = enc.tok.token_to_id("<|endoftext|>") or 0
+    words, pairs = Counter(), Counter()
+    for i, t in enumerate(texts):
+        r, raw = rows[i if i != 5 else None], (t or "").encode()
+        ids = [np.frombuffer(x, "<u4").tolist() for x in enc.encode(raw.lower().split())]
+        assert np.frombuffer(r.keys, np.int64).tolist() == list(map(op.word_key, raw.lower().split())) and r.n == len(raw)
+        assert np.frombuffer(r.ids, op._kind(enc)).tolist() == sum(ids, []) == enc.tok.encode(" ".join(raw.lower().decode().split(" ")), add_special_tokens=False).ids
+        if not r.held_out:
+            words.update([*map(op.word_key, raw.lower().split()), op.END_KEY])
+            pairs.update([x * op.BUCKETS + b * 2654435761 % 4294967296 * op.BUCKETS // 4294967296 for one in ids for b, x in zip([end, *one], one)] + [end * op.BUCKETS])
+    assert len(rows) == len(texts) and {r.held_out for r in rows.values()} == {True, False}
+    got = [Counter(), Counter()]
+    for r in read.stats.collect():
+        got[r.kind][r.key] += r.n
+    assert got == [words, pairs]
+    # the same training, from what was read and from texts
+    vocab = small_vocab(np.random.default_rng(15), len(enc.names))
+    task = op._train(SimpleNamespace(value={"vocab": vocab, "flat": start(vocab)}), op.default_path(), 1)
+    own = [i for i in range(len(texts)) if i != 5]
+    batches = [
+        pa.RecordBatch.from_pydict({"id": own, "text": [texts[i] for i in own]}),
+        pa.RecordBatch.from_pydict({"id": own, "n": [rows[i].n for i in own], "ids": [bytes(rows[i].ids) for i in own]}),
+    ]
+    copies = [[b.column(3).to_pylist() for b in task([x])] for x in batches]
+    assert copies[0] and copies[0] == copies[1]
+
+
+def test_a_step_of_blocks_equals_the_sum_of_its_texts():
+    """Keys and values are made once a place, and a block sees the one before it only in its own text."""
+    rng = np.random.default_rng(16)
+    vocab = small_vocab(rng)
+    flat = start(vocab) + rng.normal(0, 0.1, len(start(vocab)))
+    texts = [rng.integers(0, 300, n) for n in (5, 16, 40, 0, 31)]
+
+    def grad(some):
+        cur, prev, tgt, _ = lay_out(np.concatenate(some), np.array([len(t) for t in some]), vocab, 7)
+        trainer = Trainer(flat, vocab)
+        loss = trainer.step(cur, prev, tgt)
+        return trainer.m * 10 * trainer.tokens, loss * trainer.tokens, trainer.tokens
+
+    whole, parts = grad(texts), [grad([t]) for t in texts]
+    assert whole[2] == sum(p[2] for p in parts) and abs(whole[1] - sum(p[1] for p in parts)) < 1e-8 * abs(whole[1])
+    assert np.allclose(whole[0], sum(p[0] for p in parts), atol=1e-9)

@@ -129,3 +129,24 @@ def test_joins_widen_until_they_agree():
             pieces = [data[a:b] for a, b in zip([0, *at], [*at, len(data)], strict=True)]
             assert chunks.encode([pieces])[0] == enc.encode([data])[0]
         assert (chunks.widened > 0) == depends
+
+
+def test_new_pieces_go_to_the_model_together(monkeypatch):
+    """Pieces of plain words skip the library's normaliser and splitter; their ids are those of the library."""
+    enc = WordEncoder(default_path())
+    rng = np.random.default_rng(17)
+    letters = "abcdefghijklmnopqrstuvwxyzàéîõüßñç"
+    words = ["".join(letters[i] for i in rng.integers(0, len(letters), n)) for n in rng.integers(1, 25, 3000)]
+    texts = [" ".join(words), "don't we'll 12 ½ &&& ***", "", "x", "A\tB\nC"]
+    want = [np.asarray(enc.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+    def library(_):
+        raise AssertionError("the library was asked")
+
+    monkeypatch.setattr(enc, "_library", library)
+    assert enc.encode([t.encode() for t in texts[:1]] + [b"we 12 &&& ***", b""])[0] == want[0]
+    monkeypatch.undo()
+    assert enc.encode([t.encode() for t in texts]) == want
+    # a vocabulary whose names do not add up to the pieces' bytes is left to the library
+    enc.bytes_of, enc.pieces, enc.old_pieces = enc.bytes_of + 1, {}, {}
+    assert enc.encode([t.encode() for t in texts]) == want
