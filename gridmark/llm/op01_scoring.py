@@ -39,8 +39,8 @@ PIECES = 150_000
 EVERY, ROUNDS = 2, 2
 #: blocks of a training step; texts wait until there are WAIT bytes of them
 STEP, WAIT = 128, 200_000
-#: bytes of texts that are read at once, and scored at once
-READ, PART = 4_000_000, 1_500_000
+#: bytes of texts that are read or scored at once
+PART = 1_500_000
 #: words that a copy of the model is trained on in all rounds, about
 SHARE = 1 << 21
 #: numbers of the model that are averaged together; buckets of tasks that are averaged first
@@ -112,7 +112,7 @@ def _read(path: str, schema: pa.Schema):
             at = 0
             while at < len(texts):
                 split, first, chars = [], at, 0
-                while at < len(texts) and chars < READ:
+                while at < len(texts) and chars < PART:
                     split.append(texts[at].lower().split())
                     chars += len(texts[at])
                     at += 1
